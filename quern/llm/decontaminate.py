@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import math
 from dataclasses import dataclass
 
 import numpy as np
@@ -29,7 +28,7 @@ class Settings:
     window: int = 32
     rank: int = 64
     features: int = 1 << 16
-    cosine: float = 0.35
+    cosine: float = 0.45
     ratio: float = 0.8
     answer: float = 0.25
     block: int = 20_000
@@ -61,14 +60,10 @@ def document_frequencies(docs: DataFrame, vocab: dict[bytes, int], half: int) ->
 
     def make():
         def each(batch: pa.RecordBatch) -> dict:
-            df, n = np.zeros(size, np.int64), 0
-            for text in batch.column(0).to_pylist():
-                ids = ids_of(vocab, words_of(text))
-                if len(ids):
-                    pairs = np.unique((np.arange(len(ids)) // half).astype(np.int64) * size + ids)
-                    df += np.bincount(pairs % size, minlength=size)
-                    n += -(-len(ids) // half)
-            df[0] = n
+            ids, starts = padded_ids(vocab, [words_of(t) for t in batch.column(0).to_pylist()], half)
+            pairs = np.unique(np.arange(len(ids)) // half * size + ids)
+            df = np.bincount(pairs % size, minlength=size)
+            df[0] = starts[-1]
             f = np.flatnonzero(df)
             return {"f": f, "c": df[f]}
 
@@ -81,17 +76,39 @@ def document_frequencies(docs: DataFrame, vocab: dict[bytes, int], half: int) ->
     return int(df[0]), df
 
 
-def half_vectors(ids: np.ndarray, half: int, basis: np.ndarray) -> np.ndarray:
-    """Latent vector of every half window: the sum of its words' rows."""
-    y = np.zeros((max(1, -(-len(ids) // half)), basis.shape[1]), np.float32)
-    kept = np.flatnonzero(ids)
-    if len(kept):
-        at = kept // half
-        first = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
-        y[at[first]] = np.add.reduceat(basis[ids[kept]], first, 0)
+def padded_ids(vocab: dict[bytes, int], texts: list[list[bytes]], half: int) -> tuple[np.ndarray, np.ndarray]:
+    """Features of all texts one after the other, each filled up to whole half windows, and the half window where each begins."""
+    gap, parts, starts, at = np.zeros(half, np.int32), [], [0], 0
+    for words in texts:
+        parts += [ids_of(vocab, words), gap[: -len(words) % half]]
+        at += -(-len(words) // half)
+        starts.append(at)
+    return np.concatenate(parts) if parts else gap[:0], np.array(starts)
+
+
+def half_vectors(ids: np.ndarray, half: int, rows: np.ndarray, block: int = 1 << 10) -> np.ndarray:
+    """Latent vector of every half window: the sum of its words' rows, a block that fits in cache at a time."""
+    y = np.empty((len(ids) // half, rows.shape[1]), np.float32)
+    for at in range(0, len(y), block):
+        own = ids[at * half:(at + block) * half]
+        y[at:at + block] = rows[own].reshape(-1, half, rows.shape[1]).sum(1)
     return y
 
 
+def add_by_feature(total: np.ndarray, ids: np.ndarray, y: np.ndarray, half: int, block: int = 1 << 20) -> None:
+    """total[f] += the vectors of the half windows that hold f, once for each time."""
+    for at in range(0, len(ids), block):
+        own = ids[at:at + block]
+        kept = np.flatnonzero(own)
+        order = kept[np.argsort(own[kept], kind="stable")]
+        f = own[order]
+        rows = y[(at + order) // half]
+        first = np.flatnonzero(np.concatenate([[True], f[1:] != f[:-1]])) if len(f) else np.empty(0, int)
+        ones = np.ones(len(f), np.float32)
+        for a, b in zip(first.tolist(), [*first[1:].tolist(), len(f)]):
+            total[f[a]] += ones[: b - a] @ rows[a:b]
+
+
 def range_finder(docs: DataFrame, vocab: dict[bytes, int], weights: np.ndarray, items: list[list[bytes]], s: Settings) -> np.ndarray:
     """An orthonormal basis (features x rank) of the leading right singular space of the TF-IDF passages.
 
@@ -104,25 +121,15 @@ def range_finder(docs: DataFrame, vocab: dict[bytes, int], weights: np.ndarray,
     g = np.random.default_rng(s.seed).standard_normal((size, rank)).astype(np.float32) * weights[:, None]
     g[0] = 0
 
-    def gathered(total: np.ndarray, ids: np.ndarray) -> None:
-        y = half_vectors(ids, half, g)
-        kept = np.flatnonzero(ids)
-        order = kept[np.argsort(ids[kept], kind="stable")]
-        if len(order):
-            f = ids[order]
-            first = np.flatnonzero(np.concatenate([[True], f[1:] != f[:-1]]))
-            total[f[first]] += np.add.reduceat(y[order // half], first, 0)
+    def share(texts: list[list[bytes]]) -> np.ndarray:
+        total = np.zeros((size, rank), np.float32)
+        ids, _ = padded_ids(vocab, texts, half)
+        add_by_feature(total, ids, half_vectors(ids, half, g), half)
+        return total
 
     def make():
         def each(batch: pa.RecordBatch) -> dict:
-            total = np.zeros((size, rank), np.float32)
-            gap = np.zeros(half, np.int32)  # parts documents, so that one call serves the batch
-            parts = []
-            for text in batch.column(0).to_pylist():
-                ids = ids_of(vocab, words_of(text))
-                parts += [ids, gap[: -len(ids) % half]]
-            if parts:
-                gathered(total, np.concatenate(parts))
+            total = share([words_of(t) for t in batch.column(0).to_pylist()])
             f = np.flatnonzero(total.any(1))
             return {"f": f, "y": list(total[f])}
 
@@ -134,10 +141,8 @@ def range_finder(docs: DataFrame, vocab: dict[bytes, int], weights: np.ndarray,
     for batch in sums.toArrow().to_batches():
         f, k, v = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(3))
         y[f, k] = v
-    own = np.zeros((size, rank), np.float32)
-    for words in items:
-        gathered(own, ids_of(vocab, words))
-    scale = np.linalg.norm(y) / max(np.linalg.norm(own), 1e-9) if len(items) else 0
+    own = share(items)
+    scale = np.linalg.norm(y) / max(np.linalg.norm(own), 1e-9)
     q, _ = np.linalg.qr(weights[:, None] * (y + scale * own) if scale else weights[:, None] * own)
     return q.astype(np.float32)
 
@@ -159,43 +164,42 @@ class Searcher:
         self.rows[0] = 0
         self.half = s.window // 2
         self.masks, vectors = [], []
-        self.member = np.zeros((len(weights), len(items)), bool)
+        self.member = np.zeros((len(items), len(weights)), bool)
         for k, (_, words) in enumerate(items):
             masks: dict[bytes, int] = {}
             for i, w in enumerate(words):
                 masks[w] = masks.get(w, 0) | 1 << i
             self.masks.append(masks)
             ids = ids_of(vocab, words)
-            self.member[ids, k] = True
+            self.member[k, ids] = True
             x = self.rows[ids].sum(0)
             vectors.append(x / max(np.linalg.norm(x), 1e-9))
-        self.member[0] = False
+        self.member[:, 0] = False
         self.vectors = np.array(vectors, np.float32).reshape(len(items), -1).T
         self.sizes = np.array([len(w) for _, w in items], np.int64)
 
-    def find(self, words: list[bytes]) -> list[tuple[int, int, int, float, float]]:
-        """(item, first word, end word, cosine, ratio): the best place of every item that the words hold."""
-        ids = ids_of(self.vocab, words)
+    def find(self, texts: list[list[bytes]]) -> list[tuple[int, int, int, int, float, float]]:
+        """(text, item, first word, end word, cosine, ratio): the best place of every item in every text that holds it."""
+        ids, starts = padded_ids(self.vocab, texts, self.half)
         y = half_vectors(ids, self.half, self.rows)
-        y[:-1] += y[1:]
-        best: dict[int, tuple[float, int, int, float]] = {}
+        ends = starts[1:][np.diff(starts) > 0] - 1  # a text's last half window stands alone
+        y[:-1] += np.where(np.isin(np.arange(len(y) - 1), ends)[:, None], 0, y[1:]) if len(y) > 1 else 0
+        best: dict[tuple[int, int], tuple[float, int, int, float]] = {}
         for at in range(0, len(y), 4096):
             part = y[at:at + 4096]
             cos = part @ self.vectors / np.maximum(np.linalg.norm(part, axis=1), 1e-9)[:, None]
-            for r, k in zip(*np.nonzero(cos >= self.s.cosine)):
-                n = int(self.sizes[k])
-                a = max(0, (at + int(r)) * self.half - n // 2)
-                b = min(len(ids), (at + int(r)) * self.half + self.s.window + n // 2)
-                if np.count_nonzero(self.member[ids[a:b], k]) < self.s.ratio * n:
+            hit, item = np.nonzero(cos >= self.s.cosine)
+            own = np.searchsorted(starts, at + hit, "right") - 1
+            for d, r, k, c in zip(own.tolist(), ((at + hit - starts[own]) * self.half).tolist(), item.tolist(), cos[hit, item].tolist()):
+                n, words, base = int(self.sizes[k]), texts[d], int(starts[d]) * self.half
+                a, b = max(0, r - n // 2), min(len(words), r + self.s.window + n // 2)
+                if np.count_nonzero(self.member[k, ids[base + a:base + b]]) < self.s.ratio * n:
                     continue
                 got = common_order(self.masks[k], n, words[a:b])
-                ratio = got.bit_count() / n
-                end = max(1, round(n * self.s.answer))
+                ratio, end = got.bit_count() / n, max(1, round(n * self.s.answer))
                 if ratio >= self.s.ratio and (got >> (n - end)).bit_count() >= self.s.ratio / 2 * end:
-                    found = (ratio, -a, b, float(cos[r, k]))
-                    if int(k) not in best or found > best[int(k)]:
-                        best[int(k)] = found
-        return [(self.items[k][0], -a, b, c, x) for k, (x, a, b, c) in sorted(best.items())]
+                    best[d, k] = max(best.get((d, k), (0.0, 0, 0, 0.0)), (ratio, -a, b, c))
+        return [(d, self.items[k][0], -a, b, c, x) for (d, k), (x, a, b, c) in sorted(best.items())]
 
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame, s: Settings = Settings()) -> DataFrame:
@@ -223,19 +227,15 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, s: Settings = Settings())
             continue
         vocab = vocabulary([w for _, w in items], s.features)
         n, df = document_frequencies(docs, vocab, s.window // 2)
-        weights = np.log((n + 1) / (df + 1)).astype(np.float32) + np.float32(0.01)
-        weights[0] = math.log(n + 1)
+        weights = (np.log((n + 1) / (df + 1)) ** 2 + 0.01).astype(np.float32)  # squared: frequent words tell little about a passage
         basis = range_finder(docs, vocab, weights, [w for _, w in items], s)
 
         def make(items=items, vocab=vocab, weights=weights, basis=basis):
             search = Searcher(items, vocab, weights, basis, s)
 
             def each(batch: pa.RecordBatch) -> dict:
-                found = []
-                for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                    words = words_of(text)
-                    if words:
-                        found += [(doc, *x) for x in search.find(words)]
+                docs_ = batch.column(0).to_pylist()
+                found = [(docs_[d], *x) for d, *x in search.find([words_of(t) for t in batch.column(1).to_pylist()])]
                 cols = list(zip(*found)) or [()] * 6
                 return dict(zip(("doc_id", "item_id", "first_word", "end_word", "cosine", "ratio"), cols))
 

@@ -18,6 +18,8 @@ SUBSTITUTES = dict(zip("0134578@$!", "oieastbasi"))
 # Harmless phrases that hold a lexicon word.
 EXCEPTIONS = ("trash can", "trash bin", "pond scum", "clown fish", "class clown", "sore loser", "idiot proof", "garbage collection")
 
+STEMS = (5, 7)  # letters of a stem
+
 _FOLD = str.maketrans(HOMOGLYPHS | {c: "" for c in "​‌‍⁠﻿­"})
 _DIGIT = str.maketrans(SUBSTITUTES)
 
@@ -30,6 +32,12 @@ def fold(text: str) -> list[str]:
     return [unmask(w) for w in low.split()]
 
 
+def terms(words: list[str]) -> set[str]:
+    """What a lexicon may hold of a text: its words, and their beginnings (``stem*``) for languages that compound."""
+    whole = {w for w in words if 2 < len(w) <= 40}
+    return whole | {f"{w[:n]}*" for w in whole for n in STEMS if len(w) > n}
+
+
 def unmask(word: str) -> str:
     w = word.strip(".,;:?\"'()[]{}|*#%_-")
     if w.isalpha():
@@ -65,7 +73,7 @@ class Lexicon:
         self.weights, self.coef = weights, coef
         self.automaton = ahocorasick.Automaton()
         for w, x in weights.items():
-            self.automaton.add_word(f" {w} ", (w, x))
+            self.automaton.add_word(f" {w[:-1]}" if w[-1] == "*" else f" {w} ", (w, x))
         for w in EXCEPTIONS:
             self.automaton.add_word(f" {w} ", (w, None))
         self.automaton.make_automaton()
@@ -75,8 +83,10 @@ class Lexicon:
         line = f" {' '.join(filter(None, words))} "
         hits, free = [], []
         for end, (w, x) in self.automaton.iter(line):
-            (free if x is None else hits).append((end - len(w), end, w))
-        hits = [h for h in hits if not any(a <= h[0] and h[1] <= b for a, b, _ in free)]
+            stop = end + 1 if w[-1] == "*" else end  # a stem's pattern ends with its last letter, a word's with the space after
+            (free if x is None else hits).append((stop - len(w.rstrip("*")), stop, w))
+        if free:
+            hits = [h for h in hits if not any(a <= h[0] and h[1] <= b for a, b, _ in free)]
         found = {w for _, _, w in hits}
         total = sum(self.weights[w] for _, _, w in hits)
         return total, total / math.sqrt(len(words) + 10), sum(max(self.weights[w], 0) for w in found), sorted(found)
@@ -90,31 +100,32 @@ class Lexicon:
 SCALES = (20.0, 2.0, 20.0)
 
 
-def learn(docs: DataFrame, labels: DataFrame, sample: int = 20_000, words: int = 1024, least: int = 5, margin: float = 2.0) -> Lexicon:
+def learn(docs: DataFrame, labels: DataFrame, sample: int = 20_000, words: int = 1024, least: float = 0.01, margin: float = 2.0) -> Lexicon:
     """Learn a lexicon from at most ``sample`` labelled documents outside the held-out quarter.
 
-    A word joins when at least ``least`` toxic documents hold it and its smoothed log odds
-    exceed ``margin``; the ``words`` heaviest by evidence stay. Without labels every score is
+    A word or stem joins when a share of ``least`` of the toxic documents, and three of them,
+    hold it and its smoothed log odds exceed ``margin``; the ``words`` heaviest by evidence stay. Without labels every score is
     that of an empty lexicon.
     """
     rows = word_table(docs, labels, sample)
 
     def make():
         def each(batch: pa.RecordBatch) -> dict:
-            w, t = [], []
+            seen: dict[str, list[int]] = {}
             for text, toxic in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
-                own = {x for x in fold(text) if 2 < len(x) <= 40}
-                w += own
-                t += [toxic] * len(own)
-            return {"word": w, "toxic": t}
+                for x in terms(fold(text)):
+                    count = seen.setdefault(x, [0, 0])
+                    count[0] += toxic
+                    count[1] += 1
+            return {"word": list(seen), "n1": [a for a, _ in seen.values()], "n": [b for _, b in seen.values()]}
 
         return each
 
-    table = arrow_map(rows, "word string, toxic int", make).groupBy("word").agg(F.sum("toxic").alias("n1"), F.count(F.lit(1)).alias("n"))
+    table = arrow_map(rows, "word string, n1 long, n long", make).groupBy("word").agg(F.sum("n1").alias("n1"), F.sum("n").alias("n"))
     sizes = rows.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()
     n1, n0 = (next((r.n for r in sizes if r.toxic == k), 0) for k in (1, 0))
     odds = F.log((F.col("n1") + 0.5) / F.lit(n1 + 1.0)) - F.log((F.col("n") - F.col("n1") + 0.5) / F.lit(n0 + 1.0))
-    top = (table.where(F.col("n1") >= least).select("word", "n1", odds.alias("w")).where(F.col("w") > margin)
+    top = (table.where(F.col("n1") >= max(3, least * n1)).select("word", "n1", odds.alias("w")).where(F.col("w") > margin)
            .orderBy(F.desc(F.col("w") * F.sqrt("n1")), "word").limit(words).collect())
     raw = Lexicon({r.word: float(r.w) for r in top}, (0.0, 0.0, 0.0, 0.0))
 
