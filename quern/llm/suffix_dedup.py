@@ -8,7 +8,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import arrow_map, documents_of, staged
+from .shared import arrow_map, documents_of, likely, rows_by_bits, staged
 
 GRAM = 64  # bytes that decide where anchors are
 STEP = 50  # windows that a block key stands for
@@ -72,157 +72,189 @@ def texts_of(docs: DataFrame) -> DataFrame:
     return documents_of(docs).select("doc_id", F.xxhash64("text").alias("sub"), "text")
 
 
+CTX = ("c1", "c2")  # 128-bit hash of a context: the bytes that a run of windows covers, and where its anchor is
+
+
+def split_hash(h: int) -> tuple[int, int]:
+    return (h >> 64) - (1 << 63), (h & ((1 << 64) - 1)) - (1 << 63)
+
+
 def anchor_rows(docs: DataFrame, width: int) -> DataFrame:
     """One row per run of windows with one anchor: place, the leading bytes of the suffix there, and a hash of all bytes the windows cover."""
 
     def make():
-        from xxhash import xxh3_128_digest
+        from xxhash import xxh3_128_intdigest
 
         find = Anchors(width)
 
         def each(batch: pa.RecordBatch) -> dict:
             ids, subs = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            cols: list[list] = [[] for _ in range(8)]
+            cols: list[list] = [[] for _ in range(7)]
+            ctx: list[int] = []
             for doc, sub, text in zip(ids, subs, batch.column(2).to_pylist()):
                 raw = text.encode("utf-8", "surrogatepass")
                 if len(raw) < width:
                     continue
                 first, n, at, h = find.of(raw)
-                view = memoryview(raw)
-                first, n, at = first.tolist(), n.tolist(), at.tolist()
-                off = [a - p for a, p in zip(at, first)]
-                for c, v in zip(cols, ([doc] * len(first), [sub] * len(first), first, n, off, [raw[a:a + 16] for a in at], h.view(np.int64).tolist(),
-                                       [xxh3_128_digest(view[p:p + k + width - 1], seed=o) for p, k, o in zip(first, n, off)])):
+                view, b = memoryview(raw), np.frombuffer(raw, np.uint8)
+                lead = (b[at[:, None] + np.arange(8)].astype(np.int64) << np.arange(56, -1, -8)).sum(1) ^ np.int64(-(1 << 63))  # in byte order
+                off = (at - first).tolist()
+                first, n = first.tolist(), n.tolist()
+                for c, v in zip(cols, ([doc] * len(first), [sub] * len(first), first, n, off, lead.tolist(), h.view(np.int64).tolist())):
                     c += v
-            return dict(zip(("doc_id", "sub", "p", "n", "off", "lead", "gram", "ctx"), cols))
+                ctx += [xxh3_128_intdigest(view[p:p + k + width - 1], seed=o) for p, k, o in zip(first, n, off)]
+            c1, c2 = zip(*map(split_hash, ctx)) if ctx else ((), ())
+            return dict(zip(("doc_id", "sub", "p", "n", "off", "lead", "gram"), cols)) | {"c1": c1, "c2": c2}
 
         return each
 
-    return arrow_map(texts_of(docs), "doc_id long, sub long, p long, n int, off int, lead binary, gram long, ctx binary", make)
+    return arrow_map(texts_of(docs), "doc_id long, sub long, p int, n int, off int, lead long, gram long, c1 long, c2 long", make)
 
 
-def contested(contexts: DataFrame) -> DataFrame:
-    """Contexts (ctx) that have a neighbour in suffix order with the same leading GRAM bytes.
+def neighbours(contexts: DataFrame) -> DataFrame:
+    """(c1, c2, copies, met): contexts with several copies, or (met) with a neighbour in suffix order that has the same leading GRAM bytes.
 
     Sampled splitters range-partition the suffixes by their leading bytes; ties are split by
     the rest of the key, so a frequent beginning spreads over many buckets. Buckets are sorted
     locally and neighbours compared; the ends of buckets, two rows each, are compared apart.
     """
     n = max(1, int(contexts.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    order = contexts.select("lead", "gram", "ctx").repartitionByRange(n, "lead", "gram", "ctx").sortWithinPartitions("lead", "gram", "ctx")
+    key = ("lead", "gram", *CTX)
+    order = contexts.select(*key, "copies").repartitionByRange(n, *key).sortWithinPartitions(*key)
+    kinds = ("alone", "met", "edge", "end")
 
     def run(batches):
-        part, last, held, first = TaskContext.get().partitionId(), None, None, None  # held: a row not known to have a neighbour
+        part, old = TaskContext.get().partitionId(), None  # old: the last row so far, and whether one before it was like it
+        first = None
         for batch in batches:
-            leads, grams, ctxs = (batch.column(i).to_pylist() for i in range(3))
-            out: list[tuple] = []
-            for lead, gram, ctx in zip(leads, grams, ctxs):
-                key = (lead, gram)
-                if key == last:
-                    if held is not None:
-                        out.append((held, gram, lead, part, 0))
-                        held = None
-                    out.append((ctx, gram, lead, part, 0))
-                else:
-                    if held is not None and last == first:
-                        out.append((held, last[1], last[0], part, 1))
-                    first = key if first is None else first
-                    last, held = key, ctx
-            yield frame(out)
-        if last is not None:
-            out = [(None, key[1], key[0], part, 2) for key in {first, last}]
-            if held is not None:
-                out.append((held, last[1], last[0], part, 1))
-            yield frame(out)
-
-    schema = pa.schema([("ctx", pa.binary()), ("gram", pa.int64()), ("lead", pa.binary()), ("part", pa.int32()), ("kind", pa.int32())])
-
-    def frame(out: list[tuple]) -> pa.RecordBatch:
-        cols = list(zip(*out)) or [()] * 5
-        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, schema)], schema=schema)
-
-    found = staged(order.mapInArrow(run, "ctx binary, gram long, lead binary, part int, kind int"), "neighbours")
-    ends = found.where("kind = 2").groupBy("lead", "gram").agg(F.count(F.lit(1)).alias("parts")).where("parts > 1")
-    across = found.where("kind = 1").join(ends, ["lead", "gram"]).select("ctx")
-    return found.where("kind = 0").select("ctx").unionByName(across)
+            cols = [batch.column(i).to_numpy() for i in range(5)]
+            if old is not None:
+                cols = [np.concatenate([[o], c]) for o, c in zip(old[0], cols)]
+            same = (cols[0][1:] == cols[0][:-1]) & (cols[1][1:] == cols[1][:-1])
+            met = np.concatenate([[old is not None and old[1]], same])
+            met[:-1] |= same
+            first = (cols[0][0], cols[1][0]) if first is None else first
+            yield frame([c[:-1] for c in cols], met[:-1], first, None, part)
+            old = ([c[-1] for c in cols], bool(met[-1]))
+        if old is not None:
+            cols = [np.array([c]) for c in old[0]]
+            last = (cols[0][0], cols[1][0])
+            yield frame(cols, np.array([old[1]]), first, last, part)
+            ends = np.array(sorted({first, last}), np.int64)
+            blank = np.zeros(len(ends), np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip((ends[:, 0], ends[:, 1], blank, blank, blank, np.full(len(ends), part), np.full(len(ends), 3)), schema)], schema=schema)
+
+    schema = pa.schema([(c, pa.int64()) for c in (*key, "copies")] + [("part", pa.int32()), ("kind", pa.int32())])
+
+    def frame(cols, met, first, last, part):
+        at_end = np.zeros(len(met), bool)
+        for e in (first, last):
+            if e is not None:
+                at_end |= (cols[0] == e[0]) & (cols[1] == e[1])
+        kind = np.where(met, 1, np.where(at_end, 2, 0))
+        keep = (kind > 0) | (cols[4] > 1)
+        out = [*(c[keep] for c in cols), np.full(int(keep.sum()), part), kind[keep]]
+        return pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(out, schema)], schema=schema)
+
+    found = staged(order.mapInArrow(run, "lead long, gram long, c1 long, c2 long, copies long, part int, kind int"), "neighbours")
+    ends = found.where(F.col("kind") == kinds.index("end")).groupBy("lead", "gram").agg(F.count(F.lit(1)).alias("parts")).where("parts > 1")
+    edge = found.where(F.col("kind") == kinds.index("edge")).join(ends, ["lead", "gram"], "left").select(*CTX, "copies", F.col("parts").isNotNull().alias("met"))
+    rest = found.where(F.col("kind") <= kinds.index("met")).select(*CTX, "copies", (F.col("kind") == kinds.index("met")).alias("met"))
+    return rest.unionByName(edge).where("met or copies > 1")
+
+
+def block_rows(bodies: DataFrame, width: int) -> DataFrame:
+    """One row per context and block j of STEP windows: ``key`` hashes the bytes that all windows of the block share, (s1, s2) all that any of them covers."""
 
+    def make():
+        from xxhash import xxh3_64_intdigest, xxh3_128_intdigest
 
-def repeated_windows(bodies: DataFrame, width: int) -> DataFrame:
-    """(ctx, qs): window numbers in each context whose ``width`` bytes occur in another context too.
+        def each(batch: pa.RecordBatch) -> dict:
+            rows = []
+            for c1, c2, off, n, body in zip(*(batch.column(i).to_pylist() for i in range(5))):
+                view, least = memoryview(body), off - n + 1  # windows start from least to off bytes before the anchor
+                for j in range(least // STEP, off // STEP + 1):
+                    at = off - STEP * j
+                    lo, hi = max(STEP * j, least), min(STEP * j + STEP - 1, off)
+                    key = xxh3_64_intdigest(view[at:at + width - STEP + 1], seed=j) - (1 << 63)
+                    rows.append((key, *split_hash(xxh3_128_intdigest(view[off - hi:off - lo + width], seed=lo * 4096 + hi)), c1, c2, lo, hi))
+            return dict(zip(("key", "s1", "s2", "c1", "c2", "lo", "hi"), zip(*rows))) if rows else None
 
-    First blocks of width - STEP + 1 bytes round the anchor are counted; only windows whose
-    block repeats are hashed and counted in turn. Counts are combined before each shuffle;
-    nothing is paired.
-    """
+        return each
 
-    def make_blocks():
-        from xxhash import xxh3_64_intdigest
+    return arrow_map(bodies.select(*CTX, "off", "n", "body"), "key long, s1 long, s2 long, c1 long, c2 long, lo int, hi int", make)
 
-        def each(batch: pa.RecordBatch) -> dict:
-            key, ctx, js = [], [], []
-            for c, off, n, body in zip(*(batch.column(i).to_pylist() for i in range(4))):
-                for j in range((off - n + 1) // STEP, off // STEP + 1):
-                    at = off - STEP * j  # the bytes from here on are in every window of block j
-                    key.append(xxh3_64_intdigest(body[at:at + width - STEP + 1], seed=j) - (1 << 63))
-                    ctx.append(c)
-                    js.append(j)
-            return {"key": key, "ctx": ctx, "j": js}
 
-        return each
+def repeated_windows(bodies: DataFrame, width: int) -> DataFrame:
+    """(c1, c2, qs): (first, last) windows in each context whose ``width`` bytes occur in another context too; they may overlap.
 
-    blocks = staged(arrow_map(bodies, "key long, ctx binary, j int", make_blocks), "blocks")
-    twice = blocks.groupBy("key").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("key")
-    wanted = blocks.join(twice, "key").groupBy("ctx").agg(F.collect_set("j").alias("js"))
+    Three sieves, each a count combined before its shuffle, nothing paired: blocks of windows
+    whose common bytes occur once fall out; blocks covering equal bytes repeat as a whole, and
+    one of them stands for all; only where different ones share a key are single windows
+    hashed and counted.
+    """
+    blocks = staged(block_rows(bodies, width), "blocks")
+    covers = staged(blocks.groupBy("key", "s1", "s2", "lo", "hi").agg(F.count(F.lit(1)).alias("c"), F.min("c1").alias("c1")), "covers")
+    mixed = covers.groupBy("key").agg(F.count(F.lit(1)).alias("kinds")).where("kinds > 1").select("key")
+    whole = covers.where("c > 1").select("key", "s1", "s2")
+    torn = covers.join(mixed, "key").select("key", "s1", "s2", "c1")
+    stands = blocks.join(torn.select("s1", "s2", "c1"), ["s1", "s2", "c1"]).groupBy("s1", "s2").agg(F.min(F.struct("c1", "c2", "lo", "hi")).alias("r")).select("s1", "s2", "r.*")
+    wanted = stands.groupBy(*CTX).agg(F.collect_list(F.struct("s1", "s2", "lo", "hi")).alias("bs"))
 
-    def make_windows():
-        from xxhash import xxh3_128_digest
+    def make():
+        from xxhash import xxh3_128_intdigest
 
         def each(batch: pa.RecordBatch) -> dict:
-            hs, ctx, qs = [], [], []
-            for c, off, n, body, js in zip(*(batch.column(i).to_pylist() for i in range(5))):
+            rows = []
+            for off, body, bs in zip(*(batch.column(i).to_pylist() for i in range(3))):
                 view = memoryview(body)
-                for j in js:
-                    for left in range(max(STEP * j, off - n + 1), min(STEP * j + STEP - 1, off) + 1):
-                        q = off - left
-                        hs.append(xxh3_128_digest(view[q:q + width]))
-                        ctx.append(c)
-                        qs.append(q)
-            return {"h": hs, "ctx": ctx, "q": qs}
+                for b in bs:
+                    for left in range(b["lo"], b["hi"] + 1):
+                        rows.append((*split_hash(xxh3_128_intdigest(view[off - left:off - left + width], seed=left)), b["s1"], b["s2"], left))
+            return dict(zip(("w1", "w2", "s1", "s2", "left"), zip(*rows))) if rows else None
 
         return each
 
-    windows = staged(arrow_map(bodies.join(wanted, "ctx").select("ctx", "off", "n", "body", "js"), "h binary, ctx binary, q int", make_windows), "windows")
-    again = windows.groupBy("h").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("h")
-    return windows.join(again, "h").groupBy("ctx").agg(F.collect_set("q").alias("qs"))
+    windows = staged(arrow_map(bodies.join(wanted, list(CTX)).select("off", "body", "bs"), "w1 long, w2 long, s1 long, s2 long, left int", make), "windows")
+    again = windows.groupBy("w1", "w2").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("w1", "w2")
+    lefts = windows.join(again, ["w1", "w2"]).groupBy("s1", "s2").agg(F.collect_list("left").alias("lefts"))
+    found = blocks.join(whole.select("s1", "s2", F.lit(True).alias("all")), ["s1", "s2"], "left").join(lefts, ["s1", "s2"], "left").where("all or lefts is not null")
+    some = F.transform("lefts", lambda x: F.struct(x.alias("lo"), x.alias("hi")))
+    spans = F.when(F.col("all"), F.array(F.struct("lo", "hi"))).otherwise(some)
+    return found.select(*CTX, spans.alias("s")).groupBy(*CTX).agg(F.flatten(F.collect_list("s")).alias("lefts"))
 
 
-def repeated_spans(docs: DataFrame, width: int = 400) -> DataFrame:
-    """(doc_id, sub, spans): byte intervals [start, end) that strings of ``width`` bytes found elsewhere cover; they may overlap."""
-    anchors = staged(anchor_rows(docs, width), "anchors")
-    contexts = anchors.groupBy("ctx", "lead", "gram").agg(F.count(F.lit(1)).alias("copies"))
-    contexts = staged(contexts, "contexts")
-    met = contested(contexts).select("ctx", F.lit(True).alias("met"))
-    wanted = contexts.join(met, "ctx", "left").where("copies > 1 or met").select("ctx", "copies", "met")
-    members = staged(anchors.join(wanted, "ctx").select("ctx", "doc_id", "sub", "p", "n", "off", "copies", "met"), "members")
-    one = members.where("met").groupBy("ctx").agg(F.min(F.struct("doc_id", "sub", "p", "n", "off")).alias("r")).select("ctx", "r.*")
-    cuts = one.groupBy("doc_id", "sub").agg(F.collect_list(F.struct("ctx", "p", "n", "off")).alias("cuts"))
+def cut_bodies(docs: DataFrame, places: DataFrame, width: int) -> DataFrame:
+    """(c1, c2, off, n, body): the bytes of one place of each context."""
+    cuts = places.groupBy("doc_id", "sub").agg(F.collect_list(F.struct(*CTX, "p", "n", "off")).alias("cuts"))
 
     def make():
         def each(batch: pa.RecordBatch) -> dict:
             rows = []
             for text, cs in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 raw = text.encode("utf-8", "surrogatepass")
-                rows += [(c["ctx"], c["off"], c["n"], raw[c["p"]:c["p"] + c["n"] + width - 1]) for c in cs]
-            return dict(zip(("ctx", "off", "n", "body"), zip(*rows))) if rows else None
+                rows += [(c["c1"], c["c2"], c["off"], c["n"], raw[c["p"]:c["p"] + c["n"] + width - 1]) for c in cs]
+            return dict(zip(("c1", "c2", "off", "n", "body"), zip(*rows))) if rows else None
 
         return each
 
-    sources = texts_of(docs).join(cuts, ["doc_id", "sub"])
-    bodies = staged(arrow_map(sources.select("text", "cuts"), "ctx binary, off int, n int, body binary", make), "bodies")
+    bitmap = rows_by_bits(places.select("doc_id"))
+    sources = likely(texts_of(docs), "doc_id", bitmap).where("_likely").join(cuts, ["doc_id", "sub"])
+    return arrow_map(sources.select("text", "cuts"), "c1 long, c2 long, off int, n int, body binary", make)
+
+
+def repeated_spans(docs: DataFrame, width: int = 400) -> DataFrame:
+    """(doc_id, sub, spans): byte intervals [a, b) that strings of ``width`` bytes found elsewhere cover; they may overlap."""
+    anchors = staged(anchor_rows(docs, width), "anchors")
+    wanted = staged(neighbours(anchors.groupBy("lead", "gram", *CTX).agg(F.count(F.lit(1)).alias("copies"))), "wanted")
+    members = staged(anchors.drop("lead", "gram").join(wanted, list(CTX)), "members")
+    places = staged(members.where("met").groupBy(*CTX).agg(F.min(F.struct("doc_id", "sub", "p", "n", "off")).alias("r")).select(*CTX, "r.*"), "places")
+    bodies = staged(cut_bodies(docs, places, width), "bodies")
     bad = repeated_windows(bodies, width)
     whole = F.array(F.struct(F.col("p").alias("a"), (F.col("p") + F.col("n") + width - 1).alias("b")))
-    some = F.transform("qs", lambda q: F.struct((F.col("p") + q).alias("a"), (F.col("p") + q + width).alias("b")))
-    spans = members.join(bad, "ctx", "left").where("copies > 1 or qs is not null").select("doc_id", "sub", F.when(F.col("copies") > 1, whole).otherwise(some).alias("spans"))
+    anchor = F.col("p") + F.col("off")
+    some = F.transform("lefts", lambda x: F.struct((anchor - x["hi"]).alias("a"), (anchor - x["lo"] + width).alias("b")))
+    spans = members.join(bad, list(CTX), "left").where("copies > 1 or lefts is not null").select("doc_id", "sub", F.when(F.col("copies") > 1, whole).otherwise(some).alias("spans"))
     return spans.groupBy("doc_id", "sub").agg(F.flatten(F.collect_list("spans")).alias("spans"))
 
 
@@ -261,5 +293,8 @@ def dedup_suffixes(docs: DataFrame, width: int = 400) -> DataFrame:
 
         return each
 
-    rows = texts_of(docs).join(repeated_spans(docs, width), ["doc_id", "sub"], "left").select("doc_id", "text", "spans")
-    return arrow_map(rows, "doc_id long, n_bytes long, n_removed long, removed array<struct<start:long,end:long>>, kept binary", make)
+    spans = staged(repeated_spans(docs, width), "spans")
+    rows = likely(texts_of(docs), "doc_id", rows_by_bits(spans.select("doc_id")))
+    untouched = rows.where("not _likely").select("doc_id", "text", F.lit(None).cast(spans.schema["spans"].dataType).alias("spans"))
+    touched = rows.where("_likely").join(spans, ["doc_id", "sub"], "left").select("doc_id", "text", "spans")
+    return arrow_map(untouched.unionByName(touched), "doc_id long, n_bytes long, n_removed long, removed array<struct<start:long,end:long>>, kept binary", make)
