@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import re
 import zlib
+from array import array
 from collections import defaultdict
 
 import numpy as np
@@ -11,7 +13,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import Memo, arrow_map, documents_of, staged
+from .shared import arrow_map, documents_of, per_worker, staged
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, part int, rank long"
 
@@ -86,6 +88,46 @@ def plan_bins(counts: dict[int, int], limit: int) -> list[tuple[int, int, int, i
     return out
 
 
+_MARK = bytes(1 if 33 <= b < 127 and not chr(b).isalnum() else 0 for b in range(256))
+_PAIR = re.compile(r"(?:[^\w\s]|_){2}")
+
+
+class WordIds(dict):
+    """Token ids, as bytes, of chunks without spaces, remembered.
+
+    In this vocabulary a run of letters, of digits or of marks is a word of its own, and case
+    doesn't count. So where no two marks stand together, full stops and commas are set apart
+    and the text is lowered first, which leaves far fewer different chunks. Two generations of
+    ``most`` chunks bound the memory: when the younger is full, it becomes the older one.
+    """
+
+    def __init__(self, tokenizer: str, most: int = 400_000):
+        from tokenizers import Tokenizer
+
+        super().__init__()
+        self.encode, self.most, self.old = Tokenizer.from_file(tokenizer).encode, most, {}
+
+    def ids(self, text: str) -> bytes:
+        if text.isascii():
+            lone = b"\1\1" not in text.encode().translate(_MARK)
+        else:
+            lone = not _PAIR.search(text) and "\u03a3" not in text and "\u0130" not in text  # these two don't lower one by one
+        if lone:
+            text = text.lower().replace(".", " . ").replace(",", " , ")
+        return b"".join(map(self.__getitem__, text.replace("\n", " ").split(" ")))
+
+    def __missing__(self, chunk: str) -> bytes:
+        value = self.old.get(chunk)
+        if value is None:
+            value = array("I", self.encode(chunk, add_special_tokens=False).ids).tobytes()
+        if len(chunk) <= 64:
+            if len(self) >= self.most:
+                self.old = dict(self)
+                self.clear()
+            self[chunk] = value
+        return value
+
+
 def token_pieces(docs: DataFrame, tokenizer: str, limit: int = 2048, end_id: int = 0) -> DataFrame:
     """Tokenize whole texts, append ``end_id`` and cut those over ``limit`` tokens: rows of PIECES.
 
@@ -94,17 +136,14 @@ def token_pieces(docs: DataFrame, tokenizer: str, limit: int = 2048, end_id: int
     """
 
     def make():
-        from tokenizers import Tokenizer
-
-        tok, end = Tokenizer.from_file(tokenizer), np.array([end_id], "<u4").tobytes()
-        ids = Memo(lambda w: np.array(tok.encode(w, add_special_tokens=False).ids, "<u4").tobytes())
+        ids, end = per_worker(f"ids {tokenizer}", lambda: WordIds(tokenizer)), array("I", [end_id]).tobytes()
         seen, part = defaultdict(int), TaskContext.get().partitionId()
         step = 4 * limit
 
         def each(batch: pa.RecordBatch) -> dict:
             rows = []
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                own = b"".join(map(ids.__getitem__, text.replace("\n", " ").split(" "))) + end
+                own = ids.ids(text) + end
                 for k, at in enumerate(range(0, len(own), step)):
                     cut = own[at:at + step]
                     n = len(cut) // 4

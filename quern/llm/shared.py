@@ -34,7 +34,7 @@ def staged(df: DataFrame, tag: str) -> DataFrame:
     The files outlive a lost executor, so nothing before this point is computed twice.
     """
     path = f"{scratch_dir(df.sparkSession)}/quern/{tag}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
@@ -74,17 +74,27 @@ def slices(batch: pa.RecordBatch, limit: int = 8 << 20) -> Iterator[pa.RecordBat
         yield batch.slice(at, rows)
 
 
-class Memo(dict):
-    """A bounded memo of a pure function; it is emptied when full."""
+def per_worker(name: str, make: Callable):
+    """What ``make()`` gives, once in a Python worker: later tasks of the worker find it again."""
+    import sys
+    import types
 
-    def __init__(self, make: Callable, most: int = 200_000):
-        super().__init__()
-        self.make, self.most = make, most
+    kept = sys.modules.setdefault("_quern_worker", types.ModuleType("_quern_worker"))
+    if not hasattr(kept, name):
+        setattr(kept, name, make())
+    return getattr(kept, name)
 
-    def __missing__(self, key):
-        value = self.make(key)
-        if len(key) <= 64:
-            if len(self) >= self.most:
-                self.clear()
-            self[key] = value
-        return value
+
+def rows_by_bits(ids: DataFrame, bits: int = 1 << 24) -> DataFrame:
+    """(word, mask): a bitmap of the hashes of ``ids``' only column; at most bits / 64 rows, so it may be broadcast."""
+    place = F.pmod(F.xxhash64(ids.columns[0]), F.lit(bits))
+    return (ids.select(place.alias("p")).select(F.shiftright("p", 6).alias("word"), F.expr("shiftleft(1L, cast(p & 63 as int))").alias("bit"))
+            .groupBy("word").agg(F.bit_or("bit").alias("mask")))
+
+
+def likely(df: DataFrame, column: str, bitmap: DataFrame, bits: int = 1 << 24) -> DataFrame:
+    """``df`` with ``_likely``: false only where ``column`` is surely not among the bitmap's ids. A broadcast of bounded size, no shuffle."""
+    place = F.pmod(F.xxhash64(column), F.lit(bits))
+    out = df.withColumn("_word", F.shiftright(place, 6)).join(F.broadcast(bitmap.select(F.col("word").alias("_word"), F.col("mask").alias("_mask"))), "_word", "left")
+    held = F.getbit(F.coalesce("_mask", F.lit(0).cast("long")), F.pmod(place, F.lit(64)).cast("int")) == 1
+    return out.withColumn("_likely", held).drop("_word", "_mask")
