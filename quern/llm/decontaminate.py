@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import arrow_map, documents_of
+from .shared import arrow_map, documents_of, slices
 
 _SPACES = bytes(b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else b + 32 if 65 <= b <= 90 else 32 for b in range(256))
 
@@ -50,8 +51,7 @@ def hash_of(w: bytes) -> int:
 
 
 def ids_of(vocab: dict[bytes, int], words: list[bytes]) -> np.ndarray:
-    get = vocab.get
-    return np.fromiter((get(w, 0) for w in words), np.int32, len(words))
+    return np.fromiter(map(vocab.get, words, repeat(0)), np.int32, len(words))
 
 
 def document_frequencies(docs: DataFrame, vocab: dict[bytes, int], half: int) -> tuple[int, np.ndarray]:
@@ -61,8 +61,10 @@ def document_frequencies(docs: DataFrame, vocab: dict[bytes, int], half: int) ->
     def make():
         def each(batch: pa.RecordBatch) -> dict:
             ids, starts = padded_ids(vocab, [words_of(t) for t in batch.column(0).to_pylist()], half)
-            pairs = np.unique(np.arange(len(ids)) // half * size + ids)
-            df = np.bincount(pairs % size, minlength=size)
+            rows = np.sort(ids.reshape(-1, half), 1)
+            again = np.zeros(rows.shape, bool)
+            again[:, 1:] = rows[:, 1:] == rows[:, :-1]
+            df = np.bincount(rows[~again], minlength=size)
             df[0] = starts[-1]
             f = np.flatnonzero(df)
             return {"f": f, "c": df[f]}
@@ -127,15 +129,16 @@ def range_finder(docs: DataFrame, vocab: dict[bytes, int], weights: np.ndarray,
         add_by_feature(total, ids, half_vectors(ids, half, g), half)
         return total
 
-    def make():
-        def each(batch: pa.RecordBatch) -> dict:
-            total = share([words_of(t) for t in batch.column(0).to_pylist()])
-            f = np.flatnonzero(total.any(1))
-            return {"f": f, "y": list(total[f])}
-
-        return each
-
-    shares = arrow_map(documents_of(docs).select("text"), "f int, y array<float>", make)
+    def run(batches):
+        total = np.zeros((size, rank), np.float32)
+        for batch in batches:
+            for part in slices(batch):
+                total += share([words_of(t) for t in part.column(0).to_pylist()])
+        f = np.flatnonzero(total.any(1)).astype(np.int32)
+        lists = pa.ListArray.from_arrays(pa.array(np.arange(len(f) + 1, dtype=np.int32) * rank), pa.array(total[f].ravel()))
+        yield pa.RecordBatch.from_arrays([pa.array(f), lists], ["f", "y"])
+
+    shares = documents_of(docs).select("text").mapInArrow(run, "f int, y array<float>")
     sums = shares.select("f", F.posexplode("y").alias("k", "v")).groupBy("f", "k").agg(F.sum(F.round(F.col("v").cast("double"), 3)).alias("v"))
     y = np.zeros((size, rank))
     for batch in sums.toArrow().to_batches():
