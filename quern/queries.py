@@ -182,9 +182,9 @@ def name_prefix_filter(spark, sf_dir):
     return hosts(spark, sf_dir).where(text.has_run_prefix(F.col("host"), "th") | three)
 
 
-@query("SELECT page_id, TRY_CAST(nullif(regexp_extract(url, '(?i)/EN/(\\d+)', 1), '') AS BIGINT) AS number FROM pages")
+@query("SELECT page_id, coalesce(TRY_CAST(nullif(regexp_extract(url, '(?i)/EN/(\\d+)', 1), '') AS BIGINT), -1) AS number FROM pages")
 def regex_capture(spark, sf_dir):
-    return table(spark, sf_dir, "pages").select("page_id", text.captured(F.col("url"), r"(?i)/EN/(\d+)").try_cast("bigint").alias("number"))
+    return table(spark, sf_dir, "pages").select("page_id", F.coalesce(text.captured(F.col("url"), r"(?i)/EN/(\d+)").try_cast("bigint"), F.lit(-1)).alias("number"))
 
 
 @query(f"SELECT page_id, CASE WHEN contains(host, '.') THEN split_part(host, '.', 1) END AS namespace FROM ({_NAMED})")
@@ -246,10 +246,10 @@ def duration_format(spark, sf_dir):
     return spans.select("user_id", timing.duration_text(timing.micros_between(F.col("a"), F.col("b"))).alias("duration"))
 
 
-@query("SELECT event_id, ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) >= INTERVAL 20 SECOND AS due FROM events")
+@query("SELECT event_id, coalesce(ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) >= INTERVAL 20 SECOND, true) AS due FROM events")
 def throttle_gap(spark, sf_dir):
     last = F.lag("ts").over(W.partitionBy("user_id").orderBy("ts", "event_id"))
-    return table(spark, sf_dir, "events").select("event_id", (timing.plus_seconds(last, F.lit(20)) <= F.col("ts")).alias("due"))
+    return table(spark, sf_dir, "events").select("event_id", F.coalesce(timing.plus_seconds(last, F.lit(20)) <= F.col("ts"), F.lit(True)).alias("due"))
 
 
 # ---- ledger
