@@ -149,6 +149,11 @@ def signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
+def masks(bits: list[int], t: int):
+    """One row for each of :func:`flips`."""
+    return F.explode(F.array(*[F.lit(signed(x)).cast("long") for x in flips(bits, t)]))
+
+
 def links(fps: DataFrame, tau: int) -> DataFrame:
     """Edges (u, v) between different fingerprints that span the same components as all pairs within ``tau`` bits.
 
@@ -164,8 +169,7 @@ def links(fps: DataFrame, tau: int) -> DataFrame:
     rows = None
     for i, (bits, t) in enumerate(probes):
         mask = signed(sum(1 << b for b in bits))
-        near = F.explode(F.array(*[F.lit(signed(x)) for x in flips(bits, (t + 1) // 2)])) if t else F.lit(0)
-        part = fps.select("fp", near.cast("long").alias("x")).select(F.xxhash64(F.lit(i), (F.col("fp").bitwiseXOR(F.col("x"))).bitwiseAND(F.lit(mask))).alias("key"), "fp")
+        part = fps.select("fp", masks(bits, (t + 1) // 2).alias("x")).select(F.xxhash64(F.lit(i), (F.col("fp").bitwiseXOR(F.col("x"))).bitwiseAND(F.lit(mask))).alias("key"), "fp")
         rows = part if rows is None else rows.unionByName(part)
     rows = staged(rows, "probes")
     sizes = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
@@ -184,8 +188,7 @@ def links(fps: DataFrame, tau: int) -> DataFrame:
         return each
 
     small = arrow_map(groups, "u long, v long", make)
-    near = F.explode(F.array(*[F.lit(signed(x)) for x in flips(list(range(BITS)), (tau + 1) // 2)]))
-    points = met.where(F.col("n") > BLOCK).select("fp").distinct().select("fp", near.alias("x")).select("fp", F.col("fp").bitwiseXOR(F.col("x")).alias("mid"), F.bit_count("x").alias("d"))
+    points = met.where(F.col("n") > BLOCK).select("fp").distinct().select("fp", masks(list(range(BITS)), (tau + 1) // 2).alias("x")).select("fp", F.col("fp").bitwiseXOR(F.col("x")).alias("mid"), F.bit_count("x").alias("d"))
     low = points.where(F.col("d") <= tau // 2).groupBy("mid").agg(F.min("fp").alias("v"))
     large = points.join(low, "mid").where("fp <> v").select(F.col("fp").alias("u"), "v")
     return small.unionByName(large).distinct()

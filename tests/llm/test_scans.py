@@ -1,0 +1,141 @@
+"""Chat formatting, media, secrets, licences, toxicity."""
+
+import base64
+import hashlib
+import random
+import zlib
+
+import brute
+import numpy as np
+from pyspark.sql import functions as F
+
+from quern.llm import chat_format, licenses, media, queries, secrets, toxicity
+
+
+def test_chat_round_trip(spark):
+    rows = [(1, 1, "user", "a<b"), (1, 0, "system", "50%25 %3C </turn>\n<part/>"), (1, 2, "user", "again"), (1, 3, "assistant", "x </turn>\n"), (1, 4, "assistant", None),
+            (2, None, None, None), (2, 0, "a>b <%", "t"), (None, 0, "assistant", ""), (3, 0, "user", "same"), (3, 0, "user", "same"), (4, 0, "assistant", "\\### Assistant: </turn> ok 😀")]
+    df = spark.createDataFrame([(*r, "extra") for r in rows], "conv_id long, turn long, role string, text string, formatted string")
+    made = chat_format.format_chats(df)
+    got = {r.conv_id: r for r in chat_format.read_back(made).collect()}
+    want = {}
+    for c, t, role, text in sorted(rows, key=lambda r: (str(r[0]), -1 if r[1] is None else r[1], r[2] or "", r[3] or "")):
+        want.setdefault(c, []).append((role or "", text or ""))
+    assert {c: [(t.role, t.text) for t in r.turns] for c, r in got.items()} == want
+    assert {c: r.loss_text for c, r in got.items()} == {c: "".join(t for x, t in ts if x == "assistant") for c, ts in want.items()}
+    text = {r.conv_id: r.formatted for r in made.collect()}[1]
+    assert text.count("<turn ") == 3 and text.count("<part/>") == 2  # neighbours of one role are one block
+    assert chat_format.read_back(chat_format.format_chats(df.limit(0))).count() == 0
+
+
+def test_media_round_trip(spark, odd, none, sf):
+    rows = queries.media.media_digests(media.audio_features(media.encode_media(odd))).collect()
+    from conftest import ODD
+
+    texts = dict(ODD)
+    assert len(rows) == len(ODD) + 1
+    for r in rows:
+        raw = (texts[r.doc_id] or "").encode()
+        pay = raw + b"\xff" * ((-len(raw)) % 576 or (0 if raw else 576))
+        assert (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) == (len(raw), len(pay), brute.sha(pay), zlib.crc32(pay[-32:]))
+    by = {r.doc_id: r.feature for r in rows}
+    assert by[12] == by[13] and by[1] == by[2] != by[6]
+    assert media.audio_features(media.encode_media(none)).count() == 0
+
+
+def test_resampling_and_mel_against_plain_sums():
+    x = np.random.default_rng(1).standard_normal(997).astype(np.float32)
+    half, up, down = 12, media.UP, media.DOWN
+    h = np.zeros(2 * half * up + 1)
+    for p, taps in enumerate(media.phases(up, down, half)):
+        h[p::up] = taps[::-1]
+    wide = np.zeros(len(x) * up)
+    wide[::up] = x
+    want = [sum(h[k] * wide[m] for k in range(len(h)) if 0 <= (m := n * down + half * up - k) < len(wide)) for n in range(-(-len(x) * up // down))]
+    assert np.allclose(media.resample(x), want, atol=1e-4)
+    mel, db = media.log_mel(media.resample(x), media.mel_bank())
+    frame = media.resample(x)[media.HOP:media.HOP + media.FRAME] * np.hanning(media.FRAME)
+    assert np.allclose(mel[1], np.log(np.abs(np.fft.rfft(frame, media.FFT)) ** 2 @ media.mel_bank() + 1e-6), atol=1e-2)
+    assert len(db) == len(mel) and media.features(media.to_wav(b"\x80" * 576), media.mel_bank())[0].shape == (media.SPANS, media.MELS)
+
+
+def test_segments_have_hysteresis():
+    db = np.array([-40, -40, -5, -11, -11, -5, 0, -13, -40, -5, -40, -3, -4, -4], np.float32)
+    assert media.segments(db) == [(2, 7), (11, 14)]
+
+
+def test_fixed_shape_tensor(spark, odd):
+    import pyarrow as pa
+
+    table = media.audio_features(media.encode_media(odd)).select("mel").toArrow()
+    tensor = media.as_tensor(table["mel"].combine_chunks().cast(pa.list_(pa.float32())))
+    assert tensor.type.shape == [media.SPANS, media.MELS] and len(tensor) == table.num_rows
+
+
+def secret_texts():
+    rnd, out = random.Random(5), ["", "token=abcde", "TOKEN : \"abcdef\" secret=token=abcdef", "passwordpassword=hunter22", "ſecret=abcdefg toKen=abcdefg", "AKIA" + "A" * 15, "AKIA" + "A" * 16 + "AKIA" + "B" * 20,
+                                  "f" * 23 + " " + "0" * 24 + "G" + "ab" * 40, "é" * 5 + "api_key='xyz123+/=' apikey:zzzzzz", "token = \"" + "04dbebab91ab85687d33eeaaf9ac699e1188f962\" x"]
+    bits = ["token", "secret", "=", ":", " ", '"', "AKIA", "deadbeef", "0123456789", "Zz9", "\n", "é", "api_key", "APIKEY", "-", "passwd", "password"]
+    return out + ["".join(rnd.choice(bits) for _ in range(rnd.randrange(60))) for _ in range(400)]
+
+
+def test_secrets_equal_whole_text_patterns(spark):
+    texts = secret_texts()
+    found = secrets.find_secrets(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3))
+    for r in found.collect():
+        assert [(s.kind, s.start, s.end) for s in r.spans if s.kind in secrets.BASE] == brute.secrets(texts[r.doc_id]), texts[r.doc_id]
+
+
+def test_secrets_with_checksums(spark, odd, none):
+    body = "abcdefghijABCDEFGHIJ0123456789"
+    good, bad = f"ghp_{body}{secrets.base62_crc(body)}", f"ghp_{body}AAAAAA"
+    key = "-----BEGIN RSA PRIVATE KEY-----\n" + base64.b64encode(b"x" * 60).decode() + "\n-----END RSA PRIVATE KEY-----"
+    text = f"{good} {bad} card 4111 1111 1111 1111, card 4111 1111 1111 1112 {key}"
+    a = secrets.automaton()
+    assert [(k, text[i:j]) for k, i, j in secrets.scan_text(text, a)] == [("checked", good), ("card", "4111 1111 1111 1111"), ("private_key", key)]
+    assert secrets.find_secrets(none).count() == 0 and secrets.find_secrets(odd).count() == odd.count()
+
+
+def test_licenses(spark, odd, none):
+    mit = licenses._MIT
+    rows = [(1, "MIT Licence\r\n\r\nCopyright (c) 2020 Somebody\r\n\r\n" + mit.replace(",", " ,").upper()), (2, "prose\nreleased under the MIT licence\nprose"), (3, "intro here\n\n" + licenses._ISC.split("\n\n")[0]),
+            (4, "before\n  \nThis work is licensed under the GNU General Public License, v 3\n  \nafter"), (5, "Released under the MITT License."), (6, None), (7, "")]
+    got = {(r.doc_id, r.unit, r.license) for r in licenses.scan_licenses(spark.createDataFrame([(*r, "x") for r in rows], "doc_id long, text string, digest string")).collect()}
+    assert got == {(1, "document", "MIT"), (2, "line", "MIT"), (4, "paragraph", "GPL-3.0-only"), (4, "line", "GPL-3.0-only")}
+    assert licenses.scan_licenses(none).count() == 0 and licenses.scan_licenses(odd).count() == 0
+    plan = licenses.scan_licenses(odd)._jdf.queryExecution().toString()
+    assert "Python" not in plan and "Arrow" not in plan
+
+
+def test_toxicity_learns_and_holds_out(spark):
+    rnd = random.Random(2)
+    plain = [f"w{i}x" for i in range(200)]
+    rows, marks = [], []
+    for i in range(1200):
+        words = [rnd.choice(plain) for _ in range(rnd.randrange(3, 60))]
+        toxic = i % 9 == 0
+        if toxic:
+            words[rnd.randrange(len(words))] = rnd.choice(["moron", "M0R0N!", "idiot,", "іdiоt", "1d1ot"])
+        rows.append((i, " ".join(words)))
+        marks.append((i, 1, int(toxic)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    labels = spark.createDataFrame(marks, "doc_id long, quality int, toxic int")
+    lexicon = toxicity.learn(docs, labels)
+    assert {"moron", "idiot"} <= set(lexicon.weights)
+    got = {r.doc_id: r for r in toxicity.score_toxicity(docs, lexicon).collect()}
+    held = [i for i, *_ in marks if toxicity.is_held_out(i)]
+    assert all(got[i].held_out == (zlib.crc32(str(i).encode()) % 4 == 2) for i, *_ in marks)
+    assert sum(got[i].predicted == int(i % 9 == 0) for i in held) / len(held) > 0.99
+    flipped = labels.withColumn("toxic", F.when(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2, 1 - F.col("toxic")).otherwise(F.col("toxic")))
+    again = toxicity.learn(docs, flipped)
+    assert again.weights == lexicon.weights and again.coef == lexicon.coef  # held-out labels have no say
+
+
+def test_toxicity_edges(spark, odd, none):
+    lexicon = toxicity.Lexicon({"loser": 5.0, "trash": 5.0}, (-3.0, 4.0, 4.0, 4.0))
+    assert lexicon.score("a sore loser")[1] == [] and lexicon.score("such a loser")[1] == ["loser"] and lexicon.score("trash can")[1] == []
+    rows = toxicity.score_toxicity(odd, lexicon).collect()
+    assert len(rows) == odd.count() and all(0 <= r.score <= 1 for r in rows)
+    assert toxicity.score_toxicity(none, lexicon).count() == 0
+    empty = toxicity.learn(none, spark.createDataFrame([], "doc_id long, quality int, toxic int"))
+    assert empty.weights == {} and 0 <= empty.score("")[0] <= 1
