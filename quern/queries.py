@@ -115,18 +115,21 @@ def win_total_sum(spark, sf_dir):
     return rows.crossJoin(F.broadcast(rows.agg(F.sum("blocks").alias("total")))).select("relative_fno", "block_id", "total")
 
 
-_WHOLE = W.partitionBy("grp").orderBy("relative_fno", "block_id").rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
+def whole():
+    return W.partitionBy("grp").orderBy("relative_fno", "block_id").rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
+
+
 _WHOLE_SQL = "OVER (PARTITION BY grp ORDER BY relative_fno, block_id ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)"
 
 
 @query(_EXT + f"SELECT relative_fno, block_id, grp, first_value(relative_fno) {_WHOLE_SQL} AS first_fno, first_value(block_id) {_WHOLE_SQL} AS first_block FROM chunked")
 def win_first_value(spark, sf_dir):
-    return chunked(spark, sf_dir).select("relative_fno", "block_id", "grp", F.first("relative_fno").over(_WHOLE).alias("first_fno"), F.first("block_id").over(_WHOLE).alias("first_block"))
+    return chunked(spark, sf_dir).select("relative_fno", "block_id", "grp", F.first("relative_fno").over(whole()).alias("first_fno"), F.first("block_id").over(whole()).alias("first_block"))
 
 
 @query(_EXT + f"SELECT relative_fno, block_id, grp, last_value(relative_fno) {_WHOLE_SQL} AS last_fno, last_value(block_id + blocks - 1) {_WHOLE_SQL} AS last_block FROM chunked")
 def win_last_value(spark, sf_dir):
-    return chunked(spark, sf_dir).select("relative_fno", "block_id", "grp", F.last("relative_fno").over(_WHOLE).alias("last_fno"), F.last(F.col("block_id") + F.col("blocks") - 1).over(_WHOLE).alias("last_block"))
+    return chunked(spark, sf_dir).select("relative_fno", "block_id", "grp", F.last("relative_fno").over(whole()).alias("last_fno"), F.last(F.col("block_id") + F.col("blocks") - 1).over(whole()).alias("last_block"))
 
 
 @query(_EXT + "SELECT relative_fno, block_id, grp, CAST(sum(blocks) OVER (PARTITION BY grp) AS BIGINT) AS sum_blocks FROM chunked")
@@ -428,12 +431,12 @@ def snapshots(spark, sf_dir) -> DataFrame:
     key = F.col("s_suppkey")
     state = F.element_at(F.array(F.lit("QUIESCED"), F.lit("RUNNING"), F.lit("CREATED")), (key % 3 + 1).cast("int"))
     app = F.format_string('{"entityType":"APPLICATION","fullName":"job_101_%d.App","statusChange":"%s","rate":"%d"}', key % 50 + 1, state, key)
-    whole = lambda *parts: F.concat(*[F.lit(p) if isinstance(p, str) else p for p in parts])
+    put = lambda *parts: F.concat(*[F.lit(p) if isinstance(p, str) else p for p in parts])
     shapes = (
-        whole('[{"output":{"applications":[', app, '],"clusterNodes":[{"entityType":"NODE","fullName":"N', key.cast("string"), '","version":"5"},{"entityType":"NODE","name":"x"}],"search":{"rx":"1","tx":"2"}}}]'),
+        put('[{"output":{"applications":[', app, '],"clusterNodes":[{"entityType":"NODE","fullName":"N', key.cast("string"), '","version":"5"},{"entityType":"NODE","name":"x"}],"search":{"rx":"1","tx":"2"}}}]'),
         F.lit('[{"output":{"applications":[{"entityType":"APPLICATION","fullName":null}]}}]'), F.lit('[{"output":{"applications":[]}}]'), F.lit('[{"output":{}}]'), F.lit('{"output":1}'), F.lit("no json"),
-        whole('[{"output":{"applications":[', app, ',{"fullName":"job_101_9.Untyped"}],"clusterNodes":[{"entityType":"NODE","name":"a","fullName":"b","version":"5"}]}}]'),
-        whole('[{"output":{"applications":[', app, ',"text"]}}]'), F.lit("[]"))
+        put('[{"output":{"applications":[', app, ',{"fullName":"job_101_9.Untyped"}],"clusterNodes":[{"entityType":"NODE","name":"a","fullName":"b","version":"5"}]}}]'),
+        put('[{"output":{"applications":[', app, ',"text"]}}]'), F.lit("[]"))
     return table(spark, sf_dir, "supplier").select(key.alias("id"), F.element_at(F.array(*shapes), (key % 9 + 1).cast("int")).alias("j"))
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from ..operators.loader import insert_ignore
@@ -21,7 +22,7 @@ def drained_load(source: DataFrame, target: str, checkpoint: str, keys: list[str
             from pyspark.errors import AnalysisException
 
             try:
-                before = spark.read.schema(batch.schema.add("batch", "long")).option("basePath", target).parquet(target).where(f"batch < {number}")
+                before = spark.read.schema(T.StructType([*batch.schema.fields, T.StructField("batch", T.LongType())])).option("basePath", target).parquet(target).where(f"batch < {number}")
             except AnalysisException:  # nothing is there yet
                 before = batch.limit(0)
             batch = insert_ignore(before, batch, keys)
