@@ -254,7 +254,9 @@ def repeated_spans(docs: DataFrame, width: int = 400) -> DataFrame:
     whole = F.array(F.struct(F.col("p").alias("a"), (F.col("p") + F.col("n") + width - 1).alias("b")))
     anchor = F.col("p") + F.col("off")
     some = F.transform("lefts", lambda x: F.struct((anchor - x["hi"]).alias("a"), (anchor - x["lo"] + width).alias("b")))
-    spans = members.join(bad, list(CTX), "left").where("copies > 1 or lefts is not null").select("doc_id", "sub", F.when(F.col("copies") > 1, whole).otherwise(some).alias("spans"))
+    copied = members.where("copies > 1").select("doc_id", "sub", whole.alias("spans"))  # these need no join, however many they are
+    single = members.where("copies = 1").join(bad, list(CTX)).select("doc_id", "sub", some.alias("spans"))
+    spans = copied.unionByName(single)
     return spans.groupBy("doc_id", "sub").agg(F.flatten(F.collect_list("spans")).alias("spans"))
 
 
