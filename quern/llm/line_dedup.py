@@ -29,11 +29,12 @@ def ranked(rows: DataFrame, by: list[str]) -> DataFrame:
     """Rows whose ``by`` occurs more than once, with the first position of that class as its rank.
 
     Equal ranks are one LCP interval of the suffix array at this depth. Counts and firsts are
-    combined before the shuffle; the join back is an equi-join, which Spark splits where skewed.
+    combined before the shuffle. The classes are staged, so that the join back is a join of its
+    own, which Spark splits where one class has many rows.
     """
     pos = F.struct(*_KEY, "line_no")
     classes = rows.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.min(pos).alias("rank")).where("n > 1").drop("n")
-    return rows.join(classes, by).select(*_KEY, "line_no", "words", "rank")
+    return rows.join(staged(classes, "classes"), by).select(*_KEY, "line_no", "words", "rank")
 
 
 def repeated_runs(docs: DataFrame, min_words: int = 8) -> DataFrame:
