@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import ledger as L
+from ..sources.jdbc import retried
 from ..sources.ledger_store import ParquetLedger
 
 log = logging.getLogger(__name__)
@@ -58,6 +59,7 @@ class Runner:
 
     def _one(self, item, slot: str) -> None:
         self.spark.sparkContext.setLocalProperty("spark.scheduler.pool", slot)
+        self.spark.sparkContext.setJobGroup(slot, f"item {item.id}")
         self.spark.addTag(slot)
         try:
             self.load(item)
@@ -102,7 +104,7 @@ class Runner:
         if f.exception() is not None:
             status, notes = L.FAILED, str(f.exception())[:2000]
         try:
-            self.cleanup(item)
+            retried(lambda: self.cleanup(item), 2, 0)
         except Exception as e:
             if status == L.COMPLETED:
                 status, notes = L.FAILED_DROP, str(e)[:2000]

@@ -153,3 +153,26 @@ def test_snapshot_source(spark, tmp_path):
     spark.dataSource.register(SnapshotSource)
     got = spark.read.format("snapshot").option("url", (tmp_path / "s.json").as_uri()).load().collect()
     assert [r.snapshot for r in got] == ['[{"output":{"applications":[]}}]']
+
+
+def test_states(spark, tmp_path):
+    from quern.plans.status import confirmed, job_state, stream_state
+
+    spark.sparkContext.setJobGroup("own_1", "x")
+    spark.range(3).count()
+    spark.sparkContext.setJobGroup("own_2", "x")
+    assert confirmed(lambda: job_state(spark, "own_1"), "COMPLETED", 5, 0.2) and job_state(spark, "nobody") == "UNKNOWN"
+    assert not confirmed(lambda: "FAILED", "COMPLETED", 2, 0)
+    spark.range(3).write.parquet(str(tmp_path / "s"))
+    q = drained_load(spark.readStream.schema("id long").parquet(str(tmp_path / "s")), str(tmp_path / "o"), str(tmp_path / "c"))
+    q.awaitTermination(60)
+    assert stream_state(q) == "COMPLETED"
+
+
+def test_staged_files(tmp_path):
+    from quern.sources import files
+
+    at = str(tmp_path / "stage")
+    assert files.listed(at, "job") == []
+    one, ten = files.stage(at, "job_1", "a"), files.stage(at, "job_10", "b")
+    assert files.drop_staged(at, "job_1") == ["job_1.txt"] and files.listed(at, "job") == ["job_10.txt"] and files.template(ten) == "b" and one != ten
