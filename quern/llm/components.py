@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from .shared import staged
 
 
-def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
+def connected_components(edges: DataFrame) -> DataFrame:
     """(node, root) for every node of ``edges`` (u, v): root is the smallest node that it reaches.
 
     A round is a large star, then a small star. Each is a map-side combined minimum and an
@@ -18,7 +18,7 @@ def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """
     e = edges.select(F.col("u"), F.col("v")).where("u <> v")
     e = staged(e.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
-    for _ in range(rounds):
+    while True:
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()

@@ -167,17 +167,14 @@ class Searcher:
         self.rows[0] = 0
         self.half = s.window // 2
         self.masks, vectors = [], []
-        self.member = np.zeros((len(items), len(weights)), bool)
-        for k, (_, words) in enumerate(items):
+        for _, words in items:
             masks: dict[bytes, int] = {}
             for i, w in enumerate(words):
                 masks[w] = masks.get(w, 0) | 1 << i
             self.masks.append(masks)
             ids = ids_of(vocab, words)
-            self.member[k, ids] = True
             x = self.rows[ids].sum(0)
             vectors.append(x / max(np.linalg.norm(x), 1e-9))
-        self.member[:, 0] = False
         self.vectors = np.array(vectors, np.float32).reshape(len(items), -1).T
         self.sizes = np.array([len(w) for _, w in items], np.int64)
 
@@ -188,15 +185,16 @@ class Searcher:
         ends = starts[1:][np.diff(starts) > 0] - 1  # a text's last half window stands alone
         y[:-1] += np.where(np.isin(np.arange(len(y) - 1), ends)[:, None], 0, y[1:]) if len(y) > 1 else 0
         best: dict[tuple[int, int], tuple[float, int, int, float]] = {}
-        for at in range(0, len(y), 4096):
-            part = y[at:at + 4096]
+        step = max(16, (1 << 20) // max(1, len(self.items)))
+        for at in range(0, len(y), step):
+            part = y[at:at + step]
             cos = part @ self.vectors / np.maximum(np.linalg.norm(part, axis=1), 1e-9)[:, None]
             hit, item = np.nonzero(cos >= self.s.cosine)
             own = np.searchsorted(starts, at + hit, "right") - 1
             for d, r, k, c in zip(own.tolist(), ((at + hit - starts[own]) * self.half).tolist(), item.tolist(), cos[hit, item].tolist()):
-                n, words, base = int(self.sizes[k]), texts[d], int(starts[d]) * self.half
+                n, words = int(self.sizes[k]), texts[d]
                 a, b = max(0, r - n // 2), min(len(words), r + self.s.window + n // 2)
-                if np.count_nonzero(self.member[k, ids[base + a:base + b]]) < self.s.ratio * n:
+                if sum(map(self.masks[k].__contains__, words[a:b])) < self.s.ratio * n:
                     continue
                 got = common_order(self.masks[k], n, words[a:b])
                 ratio, end = got.bit_count() / n, max(1, round(n * self.s.answer))

@@ -46,7 +46,7 @@ KNOWN: tuple[tuple[str, str], ...] = (
 SPELLINGS = (("licence", "license"), ("licenced", "licensed"), ("sub license", "sublicense"), ("noncommercial", "non commercial"), ("merchantibility", "merchantability"),
              ("acknowledgement", "acknowledgment"), ("v", "version"), ("favour", "favor"), ("programme", "program"), ("organisation", "organization"), ("and or", "or"))
 
-_COPYRIGHT = r"(?m)^[^\p{L}\n]*(copyright\b|\(c\)|©)[^\n]*(\n|\z)"
+_COPYRIGHT = r"(?md)^[^\p{L}\n]*(copyright\b|\(c\)|©)[^\n]*(\n|\z)"
 _MARKS = r"[^\p{L}\p{N}]+"
 
 

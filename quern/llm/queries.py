@@ -110,5 +110,29 @@ FROM marked GROUP BY conv_id
 """
 
 
+def _license_sql() -> str:
+    """The license scan in SQL: the same canonical form over the known texts and every unit of the documents."""
+    quoted = lambda t: "'" + t.replace("'", "''") + "'"
+
+    def canonical(c: str) -> str:
+        lines = licenses._COPYRIGHT.replace("(?md)", "(?m)")
+        c = f"regexp_replace(lower(replace({c}, chr(13) || chr(10), chr(10))), {quoted(lines)}, '', 'g')"
+        c = f"' ' || trim(regexp_replace({c}, {quoted(licenses._MARKS)}, ' ', 'g')) || ' '"
+        for word, own in licenses.SPELLINGS:
+            c = f"replace({c}, ' {word} ', ' {own} ')"
+        return f"sha256(trim({c}))"
+
+    known = ", ".join(f"({quoted(k)}, {quoted(t)})" for k, t in licenses.KNOWN)
+    return f"""
+WITH known AS (SELECT {canonical("body")} AS digest, min(license) AS license FROM (VALUES {known}) t(license, body) GROUP BY 1),
+texts AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
+cut AS (SELECT doc_id, regexp_split_to_array(text, '\\n[ \\t\\r]*\\n') AS paragraphs, string_split(text, chr(10)) AS lines FROM texts),
+units AS (SELECT doc_id, 'document' AS unit, 0 AS unit_no, text AS body FROM texts
+  UNION ALL SELECT doc_id, 'paragraph', i - 1, paragraphs[i] FROM (SELECT *, unnest(generate_series(1, len(paragraphs))) AS i FROM cut WHERE len(paragraphs) > 1)
+  UNION ALL SELECT doc_id, 'line', i - 1, lines[i] FROM (SELECT *, unnest(generate_series(1, len(lines))) AS i FROM cut WHERE len(lines) > 1))
+SELECT doc_id, unit, CAST(unit_no AS BIGINT) AS unit_no, license, digest FROM (SELECT doc_id, unit, unit_no, {canonical("body")} AS digest FROM units) JOIN known USING (digest)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op2_chat_format": _CHAT}
+    return {"op2_chat_format": _CHAT, "op6_license_scan": _license_sql()}
