@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+# The marks of a template.
+QUERY_MARK, TARGET_MARK = "~QUERYTEXT~", "~TARGETTABLE~"
+
 
 def namespace_of(name: Column) -> Column:
     """What stands before the first dot; null if there is none."""
@@ -19,8 +22,8 @@ def has_run_prefix(name: Column, prefix: str) -> Column:
 
 def render_template(template: Column, query: Column, target: Column) -> Column:
     """Put the query text in first, then the target; a target mark inside the query is replaced too."""
-    with_query = F.replace(template, F.lit("~QUERYTEXT~"), F.coalesce(query, F.lit("")))
-    return F.replace(with_query, F.lit("~TARGETTABLE~"), F.coalesce(target, F.lit("")))
+    with_query = F.replace(template, F.lit(QUERY_MARK), F.coalesce(query, F.lit("")))
+    return F.replace(with_query, F.lit(TARGET_MARK), F.coalesce(target, F.lit("")))
 
 
 def stripped(text: Column) -> Column:

@@ -22,6 +22,7 @@ log = logging.getLogger(__name__)
 class Settings:
     """cap: items at once; gap: seconds between launches while any runs; poll: seconds between looks at the running ones."""
 
+    # Cap, gap and poll.
     run: int = 100
     cap: int = 5
     gap: float = 20.0

@@ -19,10 +19,10 @@ def test_duration(spark, seconds, want):
     assert one(spark, timing.duration_text(F.lit(int(seconds * 1_000_000)).cast("long"))) == want
 
 
-@pytest.mark.parametrize("name, space, match", [("ILA_100_1.App", "ILA_100_1", True), ("App", None, False), ("ILA_100_1.a.b", "ILA_100_1", False), ("ILA_10_1.App", "ILA_10_1", False), (None, None, False)])
+@pytest.mark.parametrize("name, space, match", [("RUN_100_1.App", "RUN_100_1", True), ("App", None, False), ("RUN_100_1.a.b", "RUN_100_1", False), ("RUN_10_1.App", "RUN_10_1", False), (None, None, False)])
 def test_names(spark, name, space, match):
     c = F.lit(name).cast("string")
-    assert one(spark, text.namespace_of(c)) == space and one(spark, text.has_run_prefix(c, "ILA_100_")) is match
+    assert one(spark, text.namespace_of(c)) == space and one(spark, text.has_run_prefix(c, "RUN_100_")) is match
 
 
 def test_template_and_targets(spark):
