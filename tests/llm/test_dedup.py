@@ -133,47 +133,3 @@ def test_similar_groups(spark, odd, none):
     edges = [(r.doc_id, r.group_id) for r in near_dedup.similar_groups(odd).collect()]
     assert len(edges) == len(ODD) + 1 and near_dedup.similar_groups(none).count() == 0
     assert {g for i, g in edges if i in (1, 2)} == {1}
-
-
-def test_similar_groups_do_not_depend_on_the_block(spark):
-    """Chains of small changes: what meets in a probe group is linked only over members of other blocks."""
-    rnd = random.Random(3)
-    word = lambda: "".join(rnd.choice("abcdefghijklmnop") for _ in range(5))
-    rows = []
-    for _ in range(6):
-        shared, own = [word() for _ in range(60)], [word() for _ in range(60)]
-        for step in range(60):  # all texts share half; the other half wanders
-            if step % 20 == 0:
-                own = [word() for _ in range(60)]
-            for _ in range(2):
-                own[rnd.randrange(60)] = word()
-            rows.append((len(rows), " ".join(shared + own)))
-    rnd.shuffle(rows)
-    df = frame(spark, rows)
-    whole = {r.doc_id: r.group_id for r in near_dedup.similar_groups(df, block=10**6).collect()}
-    assert {r.doc_id: r.group_id for r in near_dedup.similar_groups(df, block=2).collect()} == whole
-    assert 6 < len(set(whole.values())) < len(rows)
-
-
-def test_ties_equal_all_pairs(spark):
-    rnd = np.random.default_rng(5)
-    base = rnd.integers(0, 2**64, (3, near_dedup.WIDE), np.uint64)
-    members = []
-    for i in range(120):
-        x = base[i % 3].copy()
-        for bit in rnd.integers(0, 256, 12).tolist():
-            x[bit // 64] ^= np.uint64(1 << bit % 64)
-        members.append((1 + i % 2, i, x.tobytes(), 60, i if i % 5 else 5 * (i % 10 // 5)))
-    want = [(max(a[4], b[4]), min(a[4], b[4])) for a in members for b in members
-            if a[0] == b[0] and a[4] != b[4] and np.bitwise_count(np.frombuffer(a[2], np.uint64) ^ np.frombuffer(b[2], np.uint64)).sum() <= 18]
-    df = spark.createDataFrame(members, "key long, doc_id long, wide binary, n long, root long").repartition(4)
-    got = [(r.u, r.v) for r in near_dedup.ties_between_parts(df, 18, block=1).collect()]
-
-    def parts(pairs):
-        at = {r: r for r in range(120)}
-        for u, v in pairs:
-            at = {k: min(at[u], at[v]) if x in (at[u], at[v]) else x for k, x in at.items()}
-        return at
-
-    assert len(want) > 50 and parts(got) == parts(want)
-    assert near_dedup.ties_between_parts(df.limit(0), 18).isEmpty()
