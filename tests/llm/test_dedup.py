@@ -133,3 +133,56 @@ def test_similar_groups(spark, odd, none):
     edges = [(r.doc_id, r.group_id) for r in near_dedup.similar_groups(odd).collect()]
     assert len(edges) == len(ODD) + 1 and near_dedup.similar_groups(none).count() == 0
     assert {g for i, g in edges if i in (1, 2)} == {1}
+
+
+def exact_groups(rows, words=5, similarity=0.8):
+    """All pairs by the Jaccard similarity of their shingle sets, linked into groups."""
+    sets = {i: set(simhash.shingle_hashes(t or "", words).tolist()) for i, t in rows}
+    root = {i: i for i in sets}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    ids = sorted(sets)
+    for a, i in enumerate(ids):
+        for j in ids[:a]:
+            both = len(sets[i] & sets[j])
+            if both >= similarity * (len(sets[i]) + len(sets[j]) - both) - 1e-9:
+                low, high = sorted((find(i), find(j)))
+                root[high] = low
+    return {i: find(i) for i in ids}
+
+
+@pytest.mark.parametrize("block", [4, 128])
+def test_similar_groups_equal_all_pairs(spark, docs, block):
+    """Families around the bound: copies of one base whose similarity to each other is below 0.8, to the base above or below."""
+    rnd = random.Random(9)
+    word = lambda: "".join(rnd.choice("abcdefghijklmnop") for _ in range(rnd.randrange(2, 9)))
+    rows = list(docs)
+    for k, edits in enumerate((2, 3, 4, 5, 8)):
+        base = [word() for _ in range(200)]
+        rows += [(10000 + 1000 * k, " ".join(base))]
+        for c in range(1, 40):
+            own = list(base)
+            for _ in range(edits):
+                own[rnd.randrange(200)] = word()
+            rows.append((10000 + 1000 * k + c, " ".join(own)))
+    got = {r.doc_id: r.group_id for r in near_dedup.similar_groups(frame(spark, rows), block=block).collect()}
+    assert got == exact_groups(rows)
+
+
+def test_group_roots_equal_all_pairs_in_large_groups(spark):
+    """One group of many blocks whose links form chains across them."""
+    rnd = np.random.default_rng(5)
+    prints = rnd.integers(0, 2**63, (12, 4), np.uint64)
+    rows = []
+    for i in range(600):
+        x = prints[i % 12].copy()
+        x[0] ^= np.uint64((1 << (i // 12)) - 1)
+        rows.append((1, i, x.tobytes(), 0))
+    df = spark.createDataFrame(rows, "key long, doc_id long, body binary, weight long")
+    got = {r.node: r.root for r in near_dedup.group_roots(df, lambda bodies: near_dedup.close_prints(bodies, 1), 8).collect()}
+    assert got == {i: i % 12 for i in range(600)}
+    assert near_dedup.group_roots(df, lambda bodies: near_dedup.close_prints(bodies, 0), 8).count() == 0
