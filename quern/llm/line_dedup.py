@@ -1,16 +1,19 @@
-"""Line dedup: repeated runs of lines found by prefix doubling over line ids."""
+"""Line dedup: repeated runs of lines found by their shortest windows of enough words, or by prefix doubling."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .shared import staged
 
 _KEY = ("_id", "_sub")
+#: Primes below 2^31, so that products fit into a long, and a base for each.
+FIELDS = ((2147483647, 1096342373), (2147483629, 715828721), (2147483587, 1837260941))
 
 
 def keyed(docs: DataFrame) -> DataFrame:
@@ -25,7 +28,7 @@ def line_rows(docs: DataFrame) -> DataFrame:
     return lines.select(*_KEY, "line_no", F.xxhash64("line").alias("h1"), F.hash("line").alias("h2"), words.cast("int").alias("words"))
 
 
-def ranked(rows: DataFrame, by: list[str]) -> DataFrame:
+def ranked(rows: DataFrame, by: list[str], kept: str = "words") -> DataFrame:
     """Rows whose ``by`` occurs more than once, with the first position of that class as its rank.
 
     Equal ranks are one LCP interval of the suffix array at this depth. Counts and firsts are
@@ -34,7 +37,7 @@ def ranked(rows: DataFrame, by: list[str]) -> DataFrame:
     """
     pos = F.struct(*_KEY, "line_no")
     classes = rows.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.min(pos).alias("rank")).where("n > 1").drop("n")
-    return rows.join(staged(classes, "classes"), by).select(*_KEY, "line_no", "words", "rank")
+    return rows.join(staged(classes, "classes"), by).select(*_KEY, "line_no", kept, "rank")
 
 
 def repeated_runs(docs: DataFrame, min_words: int = 8) -> DataFrame:
@@ -42,10 +45,10 @@ def repeated_runs(docs: DataFrame, min_words: int = 8) -> DataFrame:
 
     Prefix doubling: a class at depth 2d is a pair of classes at depth d, one d lines on. A run
     of 2^k lines that starts at an earlier position elsewhere too and has ``min_words`` words
-    or more is a later copy; the union of those runs is deleted. A maximal repeated run of any
-    length is the union of two such runs. Suffixes that differ from all others leave the
-    search, so each round reads only what still repeats. Staged rounds, about log2 of the
-    longest repeated run of them.
+    or more is a later copy; the union of those runs is deleted. A longer run is the union of
+    two such, but ``min_words`` holds for each of them: :func:`whole_runs` applies it to the
+    whole run. Suffixes that differ from all others leave the search, so each round reads only
+    what still repeats. Staged rounds, about log2 of the longest repeated run of them.
     """
     level = staged(ranked(line_rows(docs), ["h1", "h2"]), "lines0")
     repeated, marks, depth = level.select(*_KEY, "line_no"), [], 1
@@ -65,15 +68,68 @@ def repeated_runs(docs: DataFrame, min_words: int = 8) -> DataFrame:
     return gone.withColumn("run", F.col("line_no") - F.row_number().over(in_row)).groupBy(*_KEY, "run").agg(F.min("line_no").alias("first"), F.max("line_no").alias("last")).drop("run")
 
 
-def dedup_lines(docs: DataFrame, min_words: int = 8) -> DataFrame:
+def power(base: int, prime: int, exponent: Column) -> Column:
+    """base^exponent mod prime for exponents from 0 to 2^32 - 1: one table a byte."""
+    out = F.lit(1).cast("long")
+    for shift in (0, 8, 16, 24):
+        step = F.lit([pow(base, i << shift, prime) for i in range(256)]).cast("array<long>")
+        out = out * F.get(step, F.shiftright(exponent, shift).bitwiseAND(255).cast("int")) % prime
+    return out
+
+
+def whole_runs(docs: DataFrame, min_words: int = 8) -> DataFrame:
+    """(_id, _sub, first, last): maximal runs of lines to delete, of any length.
+
+    A line goes if it lies in a run of ``min_words`` words or more, of however many lines, that
+    starts at an earlier position too. Of such a run [a, b), a line t lies in the shortest
+    window of enough words that starts at a, or in the shortest one that ends after t; both are
+    within the run, so they occur earlier as well. What these windows are depends on their lines
+    alone, so all copies of one are found as windows too, and two windows a line, grouped by
+    content, give what trying every run length gives. Windows are compared by their number of
+    lines and polynomial hashes of prefixes in three fields: 93 bits.
+    """
+    lines = keyed(docs.select("doc_id", "text")).select(*_KEY, F.posexplode(F.concat(F.split(F.coalesce("text", F.lit("")), "\n"), F.array(F.lit(None).cast("string")))).alias("line_no", "line"))
+    words = F.when(F.trim("line") == "", 0).otherwise(F.length("line") - F.length(F.replace("line", F.lit(" "), F.lit(""))) + 1)
+    hashes = (F.xxhash64("line"), F.xxhash64("line"), F.hash("line").cast("long"))
+    terms = [(F.pmod(h, F.lit(p)) * power(b, p, F.col("line_no")) % p).alias(f"x{k}") for k, (h, (p, b)) in enumerate(zip(hashes, FIELDS))]
+    rows = lines.select(*_KEY, "line_no", F.coalesce(words, F.lit(0)).cast("long").alias("words"), *terms)
+    rows = rows.repartition(*_KEY).dropDuplicates([*_KEY, "line_no"])  # rows repeated whole are one place
+
+    in_row = W.partitionBy(*_KEY).orderBy("line_no")
+    sums = [F.coalesce(F.sum(c).over(in_row.rowsBetween(W.unboundedPreceding, -1)), F.lit(0)) for c in ("words", "x0", "x1", "x2")]
+    ends = rows.select(*_KEY, "line_no", F.coalesce(F.lag("words").over(in_row), F.lit(0)).alias("prior"), *[c.alias(n) for c, n in zip(sums, ("before", "x0", "x1", "x2"))])
+    own = F.struct("line_no", "before", "x0", "x1", "x2")
+    enough = lambda by: W.partitionBy(*_KEY).orderBy(by).rangeBetween(W.unboundedPreceding, -max(min_words, 0))
+    if min_words > 0:
+        to, since = F.min(own).over(enough(F.desc("before"))), F.max(own).over(enough(F.asc("before")))
+    else:  # every line is a window
+        to, since = F.lead(own).over(in_row), F.lag(own).over(in_row)
+    both = ends.select(*_KEY, "prior", own.alias("at"), to.alias("to"), since.alias("since"))
+    tight = F.col("at.before") - F.col("prior") - F.col("since.before") < min_words  # then it is the window from its start too
+    pair = lambda a, b: F.struct(F.col(a).alias("s"), F.col(b).alias("e"))
+    found = both.select(*_KEY, F.explode(F.array(
+        F.when(F.col("to").isNotNull(), pair("at", "to")), F.when(F.col("since").isNotNull() & ~tight & F.lit(min_words > 0), pair("since", "at")))).alias("w")).where("w is not null")
+    content = [(F.pmod(F.col(f"w.e.x{k}") - F.col(f"w.s.x{k}"), F.lit(p)) * power(pow(b, -1, p), p, F.col("w.s.line_no")) % p).alias(f"c{k}") for k, (p, b) in enumerate(FIELDS)]
+    windows = staged(found.select(*_KEY, F.col("w.s.line_no").alias("line_no"), (F.col("w.e.line_no") - F.col("w.s.line_no")).alias("lines"), *content), "windows")
+    copies = ranked(windows, ["lines", "c0", "c1", "c2"], "lines").where(F.col("rank") < F.struct(*_KEY, "line_no"))
+    spans = copies.select(*_KEY, "line_no", (F.col("line_no") + F.col("lines")).alias("reach"))
+    parts = spans.withColumn("far", F.max("reach").over(in_row.rowsBetween(W.unboundedPreceding, -1)))
+    parts = parts.withColumn("run", F.sum(F.when(F.col("line_no") <= F.col("far"), 0).otherwise(1)).over(in_row.rowsBetween(W.unboundedPreceding, 0)))
+    return parts.groupBy(*_KEY, "run").agg(F.min("line_no").alias("first"), (F.max("reach") - 1).alias("last")).drop("run")
+
+
+def dedup_lines(docs: DataFrame, min_words: int = 8, find: Callable[[DataFrame, int], DataFrame] = repeated_runs) -> DataFrame:
     """``docs`` with later copies of repeated line runs cut from ``text``, and n_lines, n_removed added.
 
+    ``find`` gives the runs: :func:`whole_runs` those of any length, :func:`repeated_runs` those
+    of 2^k lines only.
+
     Positions are ordered by (doc_id, text hash, line number); the first occurrence stays, also
     within one document. All other columns are kept. A null text stays null (0 lines); rows
     repeated whole, id included, are one place and keep their lines; a null doc_id sorts first;
     an empty table gives no rows. If ``docs`` has a column n_lines or n_removed, it is replaced.
     """
-    runs = repeated_runs(docs, min_words)
+    runs = find(docs, min_words)
     spans = runs.groupBy(*_KEY).agg(F.collect_list(F.struct("first", "last")).alias("_gone"), F.sum(F.col("last") - F.col("first") + 1).alias("_n"))
     lines = F.split("text", "\n")
     kept = F.filter(lines, lambda x, i: ~F.exists(F.col("_gone"), lambda s: i.between(s["first"], s["last"])))

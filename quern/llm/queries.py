@@ -21,7 +21,7 @@ def vocabulary_file(name: str = "word_bpe_49k.json") -> str:
 
 
 def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = line_dedup.dedup_lines(table(spark, sf_dir, "documents"))
+    out = line_dedup.dedup_lines(table(spark, sf_dir, "documents"), find=line_dedup.whole_runs)
     return out.select("doc_id", "n_lines", "n_removed", F.sha2("text", 256).alias("kept_sha256"), "text")
 
 

@@ -6,7 +6,7 @@ import brute
 import numpy as np
 import pytest
 
-from quern.llm import components, line_dedup, near_dedup, simhash, suffix_dedup
+from quern.llm import components, line_dedup, near_dedup, queries, simhash, suffix_dedup
 from conftest import ODD
 
 
@@ -51,6 +51,43 @@ def test_line_dedup_edges(spark, odd, none):
     assert line_dedup.dedup_lines(none).count() == 0 and set(out.columns) == {*odd.columns, "n_removed"}
 
 
+def every_run(rows, min_words=8):
+    """Later copies of runs of any number of lines go, if the whole run has min_words words."""
+    lines = [(d, t.split("\n")) for d, t in rows]
+    words = lambda x: 0 if not x.strip(" ") else x.count(" ") + 1
+    gone, first = set(), {}
+    for k, (_, x) in enumerate(lines):
+        for i in range(len(x)):
+            for j in range(i + 1, len(x) + 1):
+                if first.setdefault(tuple(x[i:j]), (k, i)) < (k, i) and sum(map(words, x[i:j])) >= min_words:
+                    gone |= {(k, n) for n in range(i, j)}
+    return {d: "\n".join(v for n, v in enumerate(x) if (k, n) not in gone) for k, (d, x) in enumerate(lines)}
+
+
+@pytest.mark.parametrize("min_words", [0, 1, 8])
+def test_line_dedup_of_any_run_length(spark, docs, min_words):
+    rnd = random.Random(6)
+    pool = ["", "", " ", "   "] + [" ".join(rnd.choice("abcdefgh") for _ in range(rnd.randrange(1, 6))) for _ in range(9)]
+    rows = [(i, "\n".join(rnd.choice(pool) for _ in range(rnd.randrange(0, 16)))) for i in range(80)]
+    rows += [(200, "p p p\nq q q\nr r r"), (201, "z\np p p\nq q q\nr r r\ny"), (202, "\n" * 300 + "p p p\nq q q\nr r r" + "\n" * 300)]
+    rows += [(i + 1000, t) for i, t in docs if t.count("\n") < 60]
+    got = {r.doc_id: r.text for r in line_dedup.dedup_lines(frame(spark, rows), min_words, line_dedup.whole_runs).collect()}
+    want = every_run(rows, min_words)
+    assert got == want
+    assert min_words != 8 or want[201] == "z\ny" and want != brute.line_dedup(rows)
+
+
+def test_line_dedup_of_any_run_length_edges(spark, odd, none):
+    out = line_dedup.dedup_lines(odd, find=line_dedup.whole_runs)
+    assert sorted(map(str, out.collect())) == sorted(map(str, line_dedup.dedup_lines(odd).collect()))
+    assert line_dedup.dedup_lines(none, find=line_dedup.whole_runs).count() == 0
+
+
+def test_op1_removes_runs_of_three_short_lines(spark, tmp_path):
+    frame(spark, [(1, "p p p\nq q q\nr r r"), (2, "z\np p p\nq q q\nr r r")]).write.parquet(f"{tmp_path}/documents.parquet")
+    assert {(r.doc_id, r.text) for r in queries.op1_line_dedup(spark, str(tmp_path)).collect()} == {(1, "p p p\nq q q\nr r r"), (2, "z")}
+
+
 @pytest.mark.parametrize("width", [80, 400])
 def test_suffixes_equal_brute_force(spark, docs, width):
     rnd = random.Random(width)
