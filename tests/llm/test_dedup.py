@@ -210,6 +210,29 @@ def test_similar_groups_equal_all_pairs(spark, docs, block):
     assert got == exact_groups(rows)
 
 
+def test_similar_groups_of_short_texts(spark):
+    """Pairs at 0.8 with no third text to join them: 4 shingles against 5, 8 against 10, 12 against 15."""
+    rnd = random.Random(12)
+    word = lambda: "".join(rnd.choice("abcdefghijklmnop") for _ in range(8))
+    rows = []
+    for n, more in [(4, 1)] * 300 + [(8, 2)] * 100 + [(12, 3)] * 300:
+        text = [word() for _ in range(n + 4 + more)]
+        rows += [(len(rows), " ".join(text[: n + 4])), (len(rows) + 1, " ".join(text))]
+    got = {r.doc_id: r.group_id for r in near_dedup.similar_groups(frame(spark, rows)).collect()}
+    assert got == {i: i - i % 2 for i, _ in rows}
+
+
+@pytest.mark.parametrize("a,b,both", [(4, 5, 4), (13, 14, 12), (20, 25, 20)])
+def test_differing_bits_of_random_sets(a, b, both):
+    rng = np.random.default_rng(a)
+    share = []
+    for _ in range(400):
+        h = rng.integers(0, 2**64, a + b - both, np.uint64)
+        share.append((simhash.majority(h[:a]) ^ simhash.majority(h[a - both:])).bit_count() / 64)
+    assert abs(np.mean(share) - near_dedup.differing(a, b, both)) < 0.01
+    assert near_dedup.allowed(0.8)[a] >= near_dedup.most_bits(near_dedup.differing(a, b, both)) > 256 * near_dedup.differing(a, b, both)
+
+
 def test_group_roots_equal_all_pairs_in_large_groups(spark):
     """One group of many blocks whose links form chains across them."""
     rnd = np.random.default_rng(5)
