@@ -27,7 +27,8 @@ KINDS = (*BASE, "checked", "card", "private_key")
 KEYWORDS = {"password": "assign", "passwd": "assign", "secret": "assign", "token": "assign", "apikey": "assign", "api_key": "assign",
             "akia": "access", "ghp_": "checked", "gho_": "checked", "ghu_": "checked", "ghs_": "checked", "ghr_": "checked", "npm_": "checked",
             "-----begin ": "private_key", "card": "card", "visa": "card", "payment": "card"}
-NEAR = 64  # characters after a card word in which a number is looked for
+NEAR = 64  # characters from the start of a card word in which a number starts
+LONGEST = 38  # characters of the longest match of CARD and the one after it
 _RUN = bytes(1 if chr(b) in "0123456789abcdef" else 0 for b in range(256))
 _LOWER = {c: c + 32 for c in range(65, 91)}
 
@@ -76,7 +77,7 @@ def scan_text(text: str, keywords) -> list[tuple[str, int, int]]:
     found, done = [], dict.fromkeys(KINDS, 0)
     hits = sorted({(end - n + 1, kind) for end, (kind, n) in keywords.iter(low)})
     for at, kind in hits:
-        if at < done[kind]:
+        if at < done[kind] and kind != "card":
             continue
         if kind == "assign":
             if m := ASSIGN.match(text, at):
@@ -96,10 +97,13 @@ def scan_text(text: str, keywords) -> list[tuple[str, int, int]]:
             if m := KEY_BLOCK.match(text, at):
                 done[kind] = m.end()
                 found.append((kind, at, m.end()))
-        elif m := CARD.search(text, at, min(len(text), at + NEAR)):
-            if luhn(m[0]):
-                done[kind] = m.end()
-                found.append((kind, *m.span()))
+        else:
+            start, near = max(at, done[kind]), at + NEAR
+            while (m := CARD.search(text, start, near + LONGEST)) and m.start() < near:
+                start = m.start() + 1  # of a number that fails, later groups of digits may start one that holds
+                if luhn(m[0]):
+                    start = done[kind] = m.end()
+                    found.append((kind, *m.span()))
     found += [("hex", a, b) for a, b in hex_runs(text, LEAST["hex"])]
     return sorted(set(found), key=lambda x: (x[1], KINDS.index(x[0]), x[2]))
 
@@ -108,7 +112,7 @@ def find_secrets(docs: DataFrame) -> DataFrame:
     """(doc_id, spans): spans is array<struct<kind, start, end>> in code points, end exclusive.
 
     Base kinds: assign, access and hex. Added: checked (tokens whose embedded CRC-32 holds),
-    card (Luhn-valid numbers near a card word) and private_key blocks. A null or empty text has
+    card (Luhn-valid numbers that start within ``NEAR`` characters of a card word's start, all of them) and private_key blocks. A null or empty text has
     no spans; repeated rows are kept; one scan without a shuffle; other columns are ignored.
     """
 

@@ -139,3 +139,15 @@ def test_toxicity_edges(spark, odd, none):
     assert toxicity.score_toxicity(none, lexicon).count() == 0
     empty = toxicity.learn(none, spark.createDataFrame([], "doc_id long, quality int, toxic int"))
     assert empty.weights == {} and 0 <= empty.score("")[0] <= 1
+
+
+def test_every_card_number_that_starts_near_a_card_word():
+    a, good, other, bad = secrets.automaton(), "4111 1111 1111 1111", "5500-0000-0000-0004", "4111 1111 1111 1112"
+    cards = lambda t: [t[i:j] for k, i, j in secrets.scan_text(t, a) if k == "card"]
+    for gap in range(1, 60):  # also where the number ends beyond the 64 characters
+        assert cards("card" + "x" * (gap - 1) + " " + good + " x") == [good], gap
+    assert cards("card" + "x" * 59 + " " + good) == []
+    assert cards("card" + " " * 45 + "4111111111111111" + "1112") == []  # 20 digits: no part of them is taken for a number
+    assert cards(f"card {bad}, {good}") == [good] and cards(f"card {good}, {other}") == [good, other]
+    assert cards(f"card 12345 {good}") == [good]
+    assert cards("visa" + "." * 40 + "card " + good + "." * 30 + other) == [good, other]
