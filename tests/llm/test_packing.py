@@ -146,3 +146,31 @@ def test_queries_on_a_whole_table(spark, sf, docs):
     for name, q in queries.queries().items():
         if name != "pipeline":
             assert q(spark, sf).count() > 0, name
+
+
+def test_pipeline_decides_by_row(spark, sf, docs):
+    """Rows that share a doc_id, or have none, are decided by their own texts."""
+    pipeline = pytest.importorskip("corpus_pipeline")
+    whole = spark.read.parquet(f"{sf}/documents.parquet")
+    rnd = random.Random(21)
+    text = lambda n: " ".join("".join(rnd.choice("abcdefghijklmnop") for _ in range(7)) for _ in range(n))
+    near = lambda t: t + " " + text(1)
+
+    def rows(pairs):
+        other = {"lang": "en", "source": "s"}
+        return spark.createDataFrame([tuple({"doc_id": i, "text": t, "n_chars": len(t)}.get(c, other.get(c)) for c in whole.columns) for i, t in pairs], whole.schema)
+
+    def after(stage, pairs):
+        return sorted(((r.doc_id, r.text) for r in stage(spark, rows(pairs), sf).collect()), key=str)
+
+    kept = {r.doc_id for r in pipeline.drop_toxic(spark, whole, sf).select("doc_id").collect()}
+    toxic = next(t for i, t in docs if t and i not in kept)
+    assert after(pipeline.drop_toxic, [(7, toxic), (7, "a clean text"), (None, toxic)]) == [(7, "a clean text")]
+
+    item = next(r.text for r in spark.read.parquet(f"{sf}/benchmark.parquet").orderBy("item_id").collect() if r.text)
+    leak, clean = f"{text(30)} {item} {text(30)}", text(60)
+    assert after(pipeline.drop_leaks, [(7, leak), (7, clean), (None, leak)] + [(100 + k, text(60)) for k in range(5)])[-1] == (7, clean)
+
+    a, b, c, d = (text(40) for _ in range(4))
+    got = after(pipeline.drop_near_copies, [(5, a), (5, b), (2, near(a)), (9, near(b)), (None, c), (None, near(c)), (8, d), (8, d)])
+    assert sorted((str(i), t[:40]) for i, t in got) == sorted((str(i), t[:40]) for i, t in [(5, b), (2, a), (None, c), (8, d)])
