@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
 import shutil
 import tempfile
 import uuid
@@ -16,10 +17,13 @@ from pyspark.sql import functions as F
 def scratch_dir(spark: SparkSession) -> str:
     """The shared folder for staged tables: spark.checkpoint.dir.
 
-    Only where that setting is missing (tests on one machine) a folder of our own is made.
+    Only where that setting is missing and all runs in one process (tests) a folder of our own
+    is made; on a cluster a missing setting is an error.
     """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.conf.get("spark.master", "").startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         found = getattr(spark, "_quern_scratch", None)
         if not found:
             local = tempfile.mkdtemp(prefix="quern-")
@@ -38,6 +42,17 @@ def staged(df: DataFrame, tag: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def dropped(*tables: DataFrame) -> None:
+    """Delete staged tables that nothing reads any more."""
+    for t in tables:
+        spark = t.sparkSession
+        root = f"{scratch_dir(spark)}/quern/"
+        for path in {f.rsplit("/", 1)[0] for f in t.inputFiles()}:
+            at = spark._jvm.org.apache.hadoop.fs.Path(path)
+            if at.getParent().equals(spark._jvm.org.apache.hadoop.fs.Path(root)) or at.getParent().toUri().getPath() == spark._jvm.org.apache.hadoop.fs.Path(root).toUri().getPath():
+                at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def documents_of(docs: DataFrame) -> DataFrame:
     """Just (doc_id, text), null texts empty; columns of other names are left out."""
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
@@ -52,6 +67,7 @@ def arrow_map(df: DataFrame, schema: str, make: Callable[[], Callable[[pa.Record
     from pyspark.sql.types import StructType
 
     want = to_arrow_schema(StructType.fromDDL(schema))
+    small_batches(df.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         each = make()
@@ -63,10 +79,34 @@ def arrow_map(df: DataFrame, schema: str, make: Callable[[], Callable[[pa.Record
                 if isinstance(out, dict):
                     out = pa.RecordBatch.from_arrays([pa.array(out[f.name], type=f.type) for f in want], schema=want)
                 yield out
+        del each
+        give_back()
 
     return df.mapInArrow(run, schema)
 
 
+BATCH_BYTES = 16 << 20  # of an Arrow batch between the JVM and Python; also the JVM's buffers are as large
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Bound Arrow batches by bytes where the session doesn't do so itself: rows can be long texts."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = spark.conf.get(name).rstrip("bB")
+    if now.lstrip("-").isdigit() and not 0 < int(now) <= BATCH_BYTES:  # else it is set in other units, the session's own choice
+        spark.conf.set(name, str(BATCH_BYTES))
+
+
+def give_back() -> None:
+    """Return freed memory to the system: a worker lives on after its task, beside those of other stages."""
+    import ctypes
+    import gc
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(AttributeError, OSError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def slices(batch: pa.RecordBatch, limit: int = 8 << 20) -> Iterator[pa.RecordBatch]:
     """Cut a batch into parts of about ``limit`` bytes, so that a worker's memory stays small."""
     rows = max(1, int(batch.num_rows * min(1, limit / max(1, batch.nbytes))))
