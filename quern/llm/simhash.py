@@ -21,9 +21,12 @@ def shingle_hashes(text: str, words: int, seed: int = 42) -> np.ndarray:
 
     bytes.lower() folds A-Z only and bytes.split() cuts at 0x20 and 0x09-0x0D only.
     """
+    return hashes_of_words(text.encode("utf-8", "surrogatepass").lower().split(), words, seed)
+
+
+def hashes_of_words(w: list[bytes], words: int, seed: int = 42) -> np.ndarray:
     from xxhash import xxh64_intdigest
 
-    w = text.encode("utf-8", "surrogatepass").lower().split()
     if not w:
         return np.empty(0, np.uint64)
     n = max(1, len(w) - words + 1)
