@@ -1,20 +1,16 @@
-"""Line dedup: repeated runs of lines found by their shortest windows of enough words, or by prefix doubling."""
+"""Line dedup: ranks of line runs by distributed prefix doubling, LCP intervals of them, later copies cut."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .shared import staged
+from .shared import dropped, likely, rows_by_bits, staged
 
 _KEY = ("_id", "_sub")
-#: Primes below 2^31, so that products fit into a long, and a base for each.
-FIELDS = ((2147483647, 1096342373), (2147483629, 715828721), (2147483587, 1837260941))
-
 
 def keyed(docs: DataFrame) -> DataFrame:
     """``docs`` with a row key: the id, and a hash of the text that parts rows sharing an id."""
@@ -40,101 +36,96 @@ def ranked(rows: DataFrame, by: list[str], kept: str = "words") -> DataFrame:
     return rows.join(staged(classes, "classes"), by).select(*_KEY, "line_no", kept, "rank")
 
 
+def least_windows(level: DataFrame, min_words: int) -> DataFrame:
+    """(_id, _sub, line_no, lines, rank): the shortest windows of ``min_words`` words from and up to every line, within stretches of repeated lines.
+
+    A window holds only lines that occur elsewhere too. ``rank`` is that of its first line.
+    """
+    in_text = W.partitionBy(*_KEY).orderBy("line_no")
+    if min_words <= 0:
+        return level.select(*_KEY, "line_no", F.lit(1).alias("lines"), "rank")
+    rows = level.repartition(*_KEY).withColumn("stretch", F.col("line_no") - F.row_number().over(in_text))
+    in_stretch = W.partitionBy(*_KEY, "stretch")
+    rows = rows.withColumn("after", F.sum("words").over(in_stretch.orderBy("line_no").rowsBetween(W.unboundedPreceding, 0)).cast("long"))
+    rows = rows.withColumn("before", F.col("after") - F.col("words"))
+    by_words, whole = in_stretch.orderBy("before"), in_stretch.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
+    start = F.struct("line_no", "rank")
+    rows = rows.select(
+        *_KEY, "line_no", "rank", "before", "stretch",
+        F.min("line_no").over(by_words.rangeBetween(min_words, W.unboundedFollowing)).alias("end"),
+        F.max(start).over(by_words.rangeBetween(W.unboundedPreceding, -min_words)).alias("since"),
+        F.max("after").over(whole).alias("total"), (F.max("line_no").over(whole) + 1).alias("stop"))
+    last = F.max(F.when(F.col("total") - F.col("before") >= min_words, start)).over(whole)
+    rows = rows.withColumn("last", F.when(F.col("line_no") + 1 == F.col("stop"), last))
+    end = F.coalesce("end", F.when(F.col("total") - F.col("before") >= min_words, F.col("stop")))
+    window = lambda s, e: F.struct(F.col(f"{s}line_no").alias("line_no"), (e - F.col(f"{s}line_no")).cast("int").alias("lines"), F.col(f"{s}rank").alias("rank"))
+    some = F.array(
+        F.when(end.isNotNull(), window("", end)), F.when(F.col("since").isNotNull(), window("since.", F.col("line_no"))), F.when(F.col("last").isNotNull(), window("last.", F.col("stop"))))
+    return rows.select(*_KEY, F.explode(F.array_compact(some)).alias("w")).select(*_KEY, "w.*").distinct()
+
+
 def repeated_runs(docs: DataFrame, min_words: int = 8) -> DataFrame:
     """(_id, _sub, first, last): maximal runs of lines to delete.
 
-    Prefix doubling: a class at depth 2d is a pair of classes at depth d, one d lines on. A run
-    of 2^k lines that starts at an earlier position elsewhere too and has ``min_words`` words
-    or more is a later copy; the union of those runs is deleted. A longer run is the union of
-    two such, but ``min_words`` holds for each of them: :func:`whole_runs` applies it to the
-    whole run. Suffixes that differ from all others leave the search, so each round reads only
-    what still repeats. Staged rounds, about log2 of the longest repeated run of them.
+    A line goes if it lies in a run of ``min_words`` words or more, of however many lines, that
+    starts at an earlier position too. Prefix doubling gives each line a rank by the 2^k lines
+    from it on: the first position of its class, where a class at depth 2d is a pair of classes
+    at depth d, one d lines on. Suffixes that differ from all others leave the search, so each
+    round reads only what still repeats.
+
+    An LCP interval at depth m is then a pair of ranks at 2^k <= m: of the 2^k lines from the
+    start on, and of those before the end. Not every depth need be looked at: of a run [a, b), a
+    line t lies in the shortest window of enough words that starts at a or in the shortest one
+    that ends with t, and both are within the run. Which these are depends on their lines
+    alone, so all copies of one are windows too. The later copies of these windows are merged
+    into the maximal runs. Rounds: log2 of the lines of the longest window.
     """
-    level = staged(ranked(line_rows(docs), ["h1", "h2"]), "lines0")
-    repeated, marks, depth = level.select(*_KEY, "line_no"), [], 1
+    found = staged(ranked(line_rows(docs), ["h1", "h2"]), "lines0")
+    level = staged(found.repartition(*_KEY).dropDuplicates([*_KEY, "line_no"]), "lines")  # rows repeated whole are one place
+    windows = staged(least_windows(level, min_words), "windows")
+    longest, depth, spans = windows.agg(F.max("lines")).first()[0] or 0, 1, []
+    place = F.struct(*_KEY, "line_no")
     while True:
-        later = F.col("rank") < F.struct(*_KEY, "line_no")
-        marks.append(level.where(later & (F.col("words") >= min_words)).select(*_KEY, "line_no", (F.col("line_no") + depth).alias("reach")))
+        here = windows.where((F.col("lines") >= depth) & (F.col("lines") < 2 * depth))
+        if depth > 1:
+            at = lambda line, name: level.select(*_KEY, line.alias("line_no"), F.col("rank").alias(name))
+            ends = here.drop("rank").withColumn("tail", F.col("line_no") + F.col("lines") - depth)
+            ends = ends.join(at(F.col("line_no"), "r1"), [*_KEY, "line_no"]).join(at(F.col("line_no"), "r2").withColumnRenamed("line_no", "tail"), [*_KEY, "tail"])
+            here = ranked(ends, ["lines", "r1", "r2"], "lines")
+        spans.append(staged(here.where(F.col("rank") < place).select(*_KEY, "line_no", (F.col("line_no") + F.col("lines")).alias("reach")), "spans"))
+        if 2 * depth > longest:
+            break
         ahead = W.partitionBy(*_KEY).orderBy("line_no").rangeBetween(depth, depth)
         pairs = level.select(*_KEY, "line_no", F.col("rank").alias("r1"), F.first("rank").over(ahead).alias("r2"), (F.col("words") + F.first("words").over(ahead)).alias("words")).where("r2 is not null")
         level = staged(ranked(pairs, ["r1", "r2"]), "lines")
         depth *= 2
-        if level.isEmpty():
-            break
-    reach = reduce(DataFrame.unionByName, marks).unionByName(repeated.select(*_KEY, "line_no", F.lit(0).alias("reach")))
-    so_far = W.partitionBy(*_KEY).orderBy("line_no").rangeBetween(W.unboundedPreceding, 0)
-    gone = reach.withColumn("far", F.max("reach").over(so_far)).where("far > line_no").select(*_KEY, "line_no").distinct()
-    in_row = W.partitionBy(*_KEY).orderBy("line_no")
-    return gone.withColumn("run", F.col("line_no") - F.row_number().over(in_row)).groupBy(*_KEY, "run").agg(F.min("line_no").alias("first"), F.max("line_no").alias("last")).drop("run")
-
-
-def power(base: int, prime: int, exponent: Column) -> Column:
-    """base^exponent mod prime for exponents from 0 to 2^32 - 1: one table a byte."""
-    out = F.lit(1).cast("long")
-    for shift in (0, 8, 16, 24):
-        step = F.lit([pow(base, i << shift, prime) for i in range(256)]).cast("array<long>")
-        out = out * F.get(step, F.shiftright(exponent, shift).bitwiseAND(255).cast("int")) % prime
-    return out
-
-
-def whole_runs(docs: DataFrame, min_words: int = 8) -> DataFrame:
-    """(_id, _sub, first, last): maximal runs of lines to delete, of any length.
-
-    A line goes if it lies in a run of ``min_words`` words or more, of however many lines, that
-    starts at an earlier position too. Of such a run [a, b), a line t lies in the shortest
-    window of enough words that starts at a, or in the shortest one that ends after t; both are
-    within the run, so they occur earlier as well. What these windows are depends on their lines
-    alone, so all copies of one are found as windows too, and two windows a line, grouped by
-    content, give what trying every run length gives. Windows are compared by their number of
-    lines and polynomial hashes of prefixes in three fields: 93 bits.
-    """
-    lines = keyed(docs.select("doc_id", "text")).select(*_KEY, F.posexplode(F.concat(F.split(F.coalesce("text", F.lit("")), "\n"), F.array(F.lit(None).cast("string")))).alias("line_no", "line"))
-    words = F.when(F.trim("line") == "", 0).otherwise(F.length("line") - F.length(F.replace("line", F.lit(" "), F.lit(""))) + 1)
-    hashes = (F.xxhash64("line"), F.xxhash64("line"), F.hash("line").cast("long"))
-    terms = [(F.pmod(h, F.lit(p)) * power(b, p, F.col("line_no")) % p).alias(f"x{k}") for k, (h, (p, b)) in enumerate(zip(hashes, FIELDS))]
-    rows = lines.select(*_KEY, "line_no", F.coalesce(words, F.lit(0)).cast("long").alias("words"), *terms)
-    rows = rows.repartition(*_KEY).dropDuplicates([*_KEY, "line_no"])  # rows repeated whole are one place
-
+    dropped(found)
     in_row = W.partitionBy(*_KEY).orderBy("line_no")
-    sums = [F.coalesce(F.sum(c).over(in_row.rowsBetween(W.unboundedPreceding, -1)), F.lit(0)) for c in ("words", "x0", "x1", "x2")]
-    ends = rows.select(*_KEY, "line_no", F.coalesce(F.lag("words").over(in_row), F.lit(0)).alias("prior"), *[c.alias(n) for c, n in zip(sums, ("before", "x0", "x1", "x2"))])
-    own = F.struct("line_no", "before", "x0", "x1", "x2")
-    enough = lambda by: W.partitionBy(*_KEY).orderBy(by).rangeBetween(W.unboundedPreceding, -max(min_words, 0))
-    if min_words > 0:
-        to, since = F.min(own).over(enough(F.desc("before"))), F.max(own).over(enough(F.asc("before")))
-    else:  # every line is a window
-        to, since = F.lead(own).over(in_row), F.lag(own).over(in_row)
-    both = ends.select(*_KEY, "prior", own.alias("at"), to.alias("to"), since.alias("since"))
-    tight = F.col("at.before") - F.col("prior") - F.col("since.before") < min_words  # then it is the window from its start too
-    pair = lambda a, b: F.struct(F.col(a).alias("s"), F.col(b).alias("e"))
-    found = both.select(*_KEY, F.explode(F.array(
-        F.when(F.col("to").isNotNull(), pair("at", "to")), F.when(F.col("since").isNotNull() & ~tight & F.lit(min_words > 0), pair("since", "at")))).alias("w")).where("w is not null")
-    content = [(F.pmod(F.col(f"w.e.x{k}") - F.col(f"w.s.x{k}"), F.lit(p)) * power(pow(b, -1, p), p, F.col("w.s.line_no")) % p).alias(f"c{k}") for k, (p, b) in enumerate(FIELDS)]
-    windows = staged(found.select(*_KEY, F.col("w.s.line_no").alias("line_no"), (F.col("w.e.line_no") - F.col("w.s.line_no")).alias("lines"), *content), "windows")
-    copies = ranked(windows, ["lines", "c0", "c1", "c2"], "lines").where(F.col("rank") < F.struct(*_KEY, "line_no"))
-    spans = copies.select(*_KEY, "line_no", (F.col("line_no") + F.col("lines")).alias("reach"))
-    parts = spans.withColumn("far", F.max("reach").over(in_row.rowsBetween(W.unboundedPreceding, -1)))
+    parts = reduce(DataFrame.unionByName, spans).withColumn("far", F.max("reach").over(in_row.rowsBetween(W.unboundedPreceding, -1)))
     parts = parts.withColumn("run", F.sum(F.when(F.col("line_no") <= F.col("far"), 0).otherwise(1)).over(in_row.rowsBetween(W.unboundedPreceding, 0)))
     return parts.groupBy(*_KEY, "run").agg(F.min("line_no").alias("first"), (F.max("reach") - 1).alias("last")).drop("run")
 
 
-def dedup_lines(docs: DataFrame, min_words: int = 8, find: Callable[[DataFrame, int], DataFrame] = repeated_runs) -> DataFrame:
+def dedup_lines(docs: DataFrame, min_words: int = 8) -> DataFrame:
     """``docs`` with later copies of repeated line runs cut from ``text``, and n_lines, n_removed added.
 
-    ``find`` gives the runs: :func:`whole_runs` those of any length, :func:`repeated_runs` those
-    of 2^k lines only.
-
     Positions are ordered by (doc_id, text hash, line number); the first occurrence stays, also
     within one document. All other columns are kept. A null text stays null (0 lines); rows
     repeated whole, id included, are one place and keep their lines; a null doc_id sorts first;
     an empty table gives no rows. If ``docs`` has a column n_lines or n_removed, it is replaced.
+
+    Texts that lose nothing stay out of the join, by a bitmap of those that do.
     """
-    runs = find(docs, min_words)
-    spans = runs.groupBy(*_KEY).agg(F.collect_list(F.struct("first", "last")).alias("_gone"), F.sum(F.col("last") - F.col("first") + 1).alias("_n"))
-    lines = F.split("text", "\n")
-    kept = F.filter(lines, lambda x, i: ~F.exists(F.col("_gone"), lambda s: i.between(s["first"], s["last"])))
+    spans = staged(repeated_runs(docs, min_words).groupBy(*_KEY).agg(
+        F.array_sort(F.collect_list(F.struct("first", "last"))).alias("_gone"), F.sum(F.col("last") - F.col("first") + 1).alias("_n")), "gone")
+    starts = F.concat(F.array(F.lit(0)), F.transform("_gone", lambda s: s["last"] + 1))
+    stops = F.concat(F.col("_gone.first"), F.array(F.size("_lines")))
+    kept = F.flatten(F.zip_with(starts, stops, lambda a, b: F.slice("_lines", a + 1, b - a)))
     own = [c for c in docs.columns if c not in ("n_lines", "n_removed")]
-    out = keyed(docs).join(spans, list(_KEY), "left")
+    rows = likely(keyed(docs), "_sub", rows_by_bits(spans.select("_sub")))
+    whole = rows.where("not _likely").withColumns({"_gone": F.lit(None).cast(spans.schema["_gone"].dataType), "_n": F.lit(None).cast("long")})
+    cut = rows.where("_likely").join(spans, list(_KEY), "left")
+    out = whole.unionByName(cut).withColumn("_lines", F.split("text", "\n"))
     return out.select(
         *[F.when(F.col("_gone").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n")).alias("text") if c == "text" else F.col(c) for c in own],
-        F.when(F.col("text").isNull(), 0).otherwise(F.size(lines)).cast("long").alias("n_lines"), F.coalesce("_n", F.lit(0)).cast("long").alias("n_removed"))
+        F.when(F.col("text").isNull(), 0).otherwise(F.size("_lines")).cast("long").alias("n_lines"), F.coalesce("_n", F.lit(0)).cast("long").alias("n_removed"))
