@@ -9,25 +9,6 @@ def sha(x):
     return hashlib.sha256(x if isinstance(x, bytes) else x.encode()).hexdigest()
 
 
-def line_dedup(docs, min_words=8):
-    """docs: (doc_id, text) in order. Later copies of 2^k-line runs with min_words words go; returns kept texts."""
-    lines = [(d, t.split("\n")) for d, t in docs]
-    words = lambda x: 0 if not x.strip(" ") else x.count(" ") + 1
-    gone, depth = set(), 1
-    while depth <= max((len(x) for _, x in lines), default=0):
-        first = {}
-        for k, (_, x) in enumerate(lines):
-            for i in range(len(x) - depth + 1):
-                run = tuple(x[i:i + depth])
-                if run in first and first[run] < (k, i):
-                    if sum(map(words, run)) >= min_words:
-                        gone |= {(k, j) for j in range(i, i + depth)}
-                else:
-                    first.setdefault(run, (k, i))
-        depth *= 2
-    return {d: "\n".join(v for j, v in enumerate(x) if (k, j) not in gone) for k, (d, x) in enumerate(lines)}
-
-
 def simhash(docs):
     import xxhash
 
