@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import arrow_map, documents_of, slices
+from .shared import arrow_map, documents_of, give_back, slices
 
 _SPACES = bytes(b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else b + 32 if 65 <= b <= 90 else 32 for b in range(256))
 
@@ -22,17 +22,20 @@ def words_of(text: str) -> list[bytes]:
 
 @dataclass
 class Settings:
-    """window: words of a passage, made of two half windows; rank: latent dimensions; features: bound on the vocabulary;
-    cosine: least latent similarity of a candidate; ratio: least share of an item's words in common order;
-    answer: share of the item's end that is its answer, of which ``ratio`` / 2 must be there; block: benchmark items a pass."""
+    """window: words of a passage, made of two half windows; rank: latent dimensions; spare: random directions beyond them that
+    the decomposition is made from; features: bound on the vocabulary; cosine: least latent similarity of a candidate;
+    ratio: least share of an item's words in common order; answer: share of the item's end that is its answer, of which
+    ``ratio`` / 2 must be there; block: benchmark items a pass, and characters of them."""
 
     window: int = 32
     rank: int = 64
+    spare: int = 16
     features: int = 1 << 16
     cosine: float = 0.45
     ratio: float = 0.8
     answer: float = 0.25
     block: int = 20_000
+    block_chars: int = 64 << 20
     seed: int = 7
 
 
@@ -111,17 +114,19 @@ def add_by_feature(total: np.ndarray, ids: np.ndarray, y: np.ndarray, half: int,
             total[f[a]] += ones[: b - a] @ rows[a:b]
 
 
-def range_finder(docs: DataFrame, vocab: dict[bytes, int], weights: np.ndarray, items: list[list[bytes]], s: Settings) -> np.ndarray:
-    """An orthonormal basis (features x rank) of the leading right singular space of the TF-IDF passages.
+def latent_space(docs: DataFrame, vocab: dict[bytes, int], weights: np.ndarray, items: list[list[bytes]], s: Settings) -> tuple[np.ndarray, np.ndarray]:
+    """The ``s.rank`` leading right singular vectors (features x rank) and singular values of the TF-IDF passages, by a randomised SVD.
 
-    One distributed pass computes A' (A G) for a random G: each task sums its passages' share,
-    which is features x rank at most, and the shares are added by feature. The items' own rows
-    are added with the weight of the passages, so that their directions are kept.
+    One distributed pass computes A' (A G) for a random G of ``s.rank`` + ``s.spare`` columns:
+    each task sums its passages' share, which is features x columns at most, and the shares are
+    added by feature. :func:`truncated` makes the decomposition from it. The items' own rows are
+    added with the weight of the passages, so that their directions are kept.
     """
     size, half = len(weights), s.window // 2
-    rank = min(s.rank, max(1, size - 1))
-    g = np.random.default_rng(s.seed).standard_normal((size, rank)).astype(np.float32) * weights[:, None]
-    g[0] = 0
+    rank = min(s.rank + s.spare, max(1, size - 1))
+    omega = np.random.default_rng(s.seed).standard_normal((size, rank)).astype(np.float32)
+    omega[0] = 0
+    g = omega * weights[:, None]
 
     def share(texts: list[list[bytes]]) -> np.ndarray:
         total = np.zeros((size, rank), np.float32)
@@ -137,6 +142,7 @@ def range_finder(docs: DataFrame, vocab: dict[bytes, int], weights: np.ndarray,
         f = np.flatnonzero(total.any(1)).astype(np.int32)
         lists = pa.ListArray.from_arrays(pa.array(np.arange(len(f) + 1, dtype=np.int32) * rank), pa.array(total[f].ravel()))
         yield pa.RecordBatch.from_arrays([pa.array(f), lists], ["f", "y"])
+        give_back()
 
     shares = documents_of(docs).select("text").mapInArrow(run, "f int, y array<float>")
     sums = shares.select("f", F.posexplode("y").alias("k", "v")).groupBy("f", "k").agg(F.sum(F.round(F.col("v").cast("double"), 3)).alias("v"))
@@ -145,9 +151,25 @@ def range_finder(docs: DataFrame, vocab: dict[bytes, int], weights: np.ndarray,
         f, k, v = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(3))
         y[f, k] = v
     own = share(items)
-    scale = np.linalg.norm(y) / max(np.linalg.norm(own), 1e-9)
-    q, _ = np.linalg.qr(weights[:, None] * (y + scale * own) if scale else weights[:, None] * own)
-    return q.astype(np.float32)
+    norm = np.linalg.norm(y)
+    both = weights[:, None] * (y + norm / max(np.linalg.norm(own), 1e-9) * own) if norm else weights[:, None] * own.astype(np.float64)
+    vectors, values = truncated(both, omega.astype(np.float64), min(s.rank, max(1, size - 1)))
+    return vectors.astype(np.float32), values
+
+
+def truncated(y: np.ndarray, omega: np.ndarray, rank: int) -> tuple[np.ndarray, np.ndarray]:
+    """Leading right singular vectors and singular values of A from Y = A'A Omega, without another pass over A.
+
+    The Nystroem form: with Omega' Y = C'C the matrix Y C^-1 has A's right singular vectors as
+    its left ones, and its singular values are A's. A small shift keeps C'C positive definite.
+    """
+    shift = 1e-7 * max(np.linalg.norm(y), 1e-30)
+    y = y + shift * omega
+    core = omega.T @ y
+    value, vector = np.linalg.eigh((core + core.T) / 2)
+    value = np.maximum(value, 1e-12 * max(value.max(), 1e-30))
+    u, sigma, _ = np.linalg.svd(y @ (vector / np.sqrt(value)), full_matrices=False)
+    return u[:, :rank], np.sqrt(np.maximum(sigma[:rank] ** 2 - shift, 0))
 
 
 def common_order(masks: dict[bytes, int], n: int, words: list[bytes]) -> int:
@@ -211,17 +233,19 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, s: Settings = Settings())
     words around has ``s.ratio`` of the item, its end (the answer) included. Every passage is
     searched; statistics and the singular space come from all passages.
 
-    The benchmark is the stated query set: it is read in blocks of ``s.block`` items, so what a
-    task holds is bounded however long it is. Null and empty texts hold nothing; null, empty
+    The benchmark is the stated query set: it is read in blocks of about ``s.block`` items or
+    ``s.block_chars`` characters, so what a task holds is bounded however long it is. A null
+    doc_id stays null. Null and empty texts hold nothing; null, empty
     or wordless items match nothing; equal items are all reported; repeated rows give repeated
     rows; an empty table on either side gives no rows; other columns are ignored.
     """
     schema = "doc_id long, item_id long, first_word long, end_word long, cosine double, ratio double"
     rows = benchmark.where("item_id is not null and text is not null").select(F.col("item_id").cast("long").alias("item_id"), "text").distinct()
-    total = rows.count()
+    total, chars = rows.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.length("text")), F.lit(0))).first()
+    blocks = max(-(-total // s.block), -(-chars // s.block_chars))
     out = docs.sparkSession.createDataFrame([], schema)
-    for block in range(-(-total // s.block)):
-        own = rows.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(-(-total // s.block))) == block) if total > s.block else rows
+    for block in range(blocks):
+        own = rows.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == block) if blocks > 1 else rows
         items = sorted((r.item_id, words_of(r.text)) for r in own.collect())
         items = [(i, w) for i, w in items if w]
         if not items:
@@ -229,7 +253,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, s: Settings = Settings())
         vocab = vocabulary([w for _, w in items], s.features)
         n, df = document_frequencies(docs, vocab, s.window // 2)
         weights = (np.log((n + 1) / (df + 1)) ** 2 + 0.01).astype(np.float32)  # squared: frequent words tell little about a passage
-        basis = range_finder(docs, vocab, weights, [w for _, w in items], s)
+        basis, _ = latent_space(docs, vocab, weights, [w for _, w in items], s)
 
         def make(items=items, vocab=vocab, weights=weights, basis=basis):
             search = Searcher(items, vocab, weights, basis, s)
