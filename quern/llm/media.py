@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import io
+import math
 import wave
 
 import numpy as np
@@ -14,7 +15,7 @@ from .shared import arrow_map, documents_of
 
 UNIT, PAD = 576, 255
 RATE, UP, DOWN = 24_000, 2, 3  # stored rate, and the factors to the 16 kHz that features are made at
-FRAME, HOP, FFT, MELS, SPANS = 400, 160, 512, 40, 16
+FRAME, HOP, FFT, MELS, BLOCK = 400, 160, 512, 40, 64  # BLOCK: frames of a tensor
 ON_DB, OFF_DB, LEAST_FRAMES = -6.0, -12.0, 3  # hysteresis against the loudest frame
 
 
@@ -106,14 +107,39 @@ def segments(db: np.ndarray) -> list[tuple[int, int]]:
     return [(int(a), int(b)) for a, b in zip(edge[::2], edge[1::2]) if b - a >= LEAST_FRAMES]
 
 
+TENSOR = pa.fixed_shape_tensor(pa.float32(), (BLOCK, MELS), dim_names=("frame", "mel"))
+STORED = pa.schema([("start", pa.float64()), ("end", pa.float64()), ("mel", TENSOR)])
+
+
 def features(media: bytes, bank: np.ndarray) -> tuple[np.ndarray, list[tuple[float, float]], list[tuple[float, float]]]:
-    """Fixed-shape (SPANS, MELS) tensor of mean log-mel energies, its time spans and the energy segments, in seconds."""
+    """All log-mel frames as tensors (blocks, BLOCK, MELS) to 1/100, the time span of each and the energy segments, in seconds.
+
+    The last tensor is filled up with the level of silence; its span ends with its last frame.
+    """
     x = (np.frombuffer(from_wav(media), np.uint8).astype(np.float32) - 128) / 128
     mel, db = log_mel(resample(x), bank)
-    cuts = np.linspace(0, len(mel), SPANS + 1).astype(int)
-    tensor = np.stack([mel[a:max(b, a + 1)].mean(0) if a < len(mel) else mel[-1] for a, b in zip(cuts, cuts[1:])])
+    n = -(-len(mel) // BLOCK)
+    tensor = np.full((n * BLOCK, MELS), round(math.log(1e-6), 2), np.float32)
+    tensor[: len(mel)] = np.round(mel, 2)
     second = HOP * DOWN / (RATE * UP)
-    return tensor, [(a * second, b * second) for a, b in zip(cuts.tolist(), cuts[1:].tolist())], [(a * second, b * second) for a, b in segments(db)]
+    spans = [(k * BLOCK * second, min((k + 1) * BLOCK, len(mel)) * second) for k in range(n)]
+    return tensor.reshape(n, BLOCK, MELS), spans, [(a * second, b * second) for a, b in segments(db)]
+
+
+def to_tensors(tensor: np.ndarray, spans: list[tuple[float, float]]) -> bytes:
+    """An Arrow stream of one batch: the time span and the fixed-shape tensor of each block."""
+    flat = pa.FixedSizeListArray.from_arrays(pa.array(tensor.ravel()), BLOCK * MELS)
+    starts, ends = (pa.array([s[i] for s in spans], pa.float64()) for i in (0, 1))
+    batch = pa.RecordBatch.from_arrays([starts, ends, pa.ExtensionArray.from_storage(TENSOR, flat)], schema=STORED)
+    out = pa.BufferOutputStream()
+    with pa.ipc.new_stream(out, STORED) as w:
+        w.write_batch(batch)
+    return out.getvalue().to_pybytes()
+
+
+def from_tensors(stored: bytes) -> pa.Table:
+    """What :func:`to_tensors` stored: start, end and mel, of Arrow's fixed-shape tensor type."""
+    return pa.ipc.open_stream(stored).read_all()
 
 
 def encode_media(docs: DataFrame) -> DataFrame:
@@ -133,10 +159,11 @@ def encode_media(docs: DataFrame) -> DataFrame:
 
 
 def audio_features(media: DataFrame) -> DataFrame:
-    """Read stored media back: doc_id, n_bytes, media, payload, mel (tensor of SPANS x MELS, flat), spans, segments.
+    """Read stored media back: doc_id, n_bytes, media, payload, tensors, n_blocks, segments.
 
-    Every tensor has the same shape, whatever the length of the sound; :func:`as_tensor` gives
-    it Arrow's fixed-shape tensor type. One scan, one sound at a time; equal media, equal values.
+    ``tensors`` is a stream of Arrow's fixed-shape tensors of BLOCK frames x MELS, as many as the
+    sound needs, with their time spans; :func:`from_tensors` opens it. One scan, one sound at a
+    time; equal media, equal values.
     """
 
     def make():
@@ -145,29 +172,20 @@ def audio_features(media: DataFrame) -> DataFrame:
         def each(batch: pa.RecordBatch) -> dict:
             sounds = batch.column(2).to_pylist()
             got = [features(m, bank) for m in sounds]
-            pair = lambda spans: [{"start": a, "end": b} for a, b in spans]
             return {"doc_id": batch.column(0), "n_bytes": batch.column(1), "media": batch.column(2), "payload": [from_wav(m) for m in sounds],
-                    "mel": [t.ravel() for t, _, _ in got], "spans": [pair(s) for _, s, _ in got], "segments": [pair(s) for _, _, s in got]}
+                    "tensors": [to_tensors(t, s) for t, s, _ in got], "n_blocks": [len(s) for _, s, _ in got],
+                    "segments": [[{"start": a, "end": b} for a, b in s] for _, _, s in got]}
 
         return each
 
-    span = "array<struct<start:double,end:double>>"
-    return arrow_map(media.select("doc_id", "n_bytes", "media"), f"doc_id long, n_bytes long, media binary, payload binary, mel array<float>, spans {span}, segments {span}", make)
-
-
-def as_tensor(mel: pa.Array) -> pa.ExtensionArray:
-    """Arrow's fixed-shape tensor array over the flat ``mel`` lists."""
-    kind = pa.fixed_shape_tensor(pa.float32(), (SPANS, MELS), dim_names=("span", "mel"))
-    flat = pa.FixedSizeListArray.from_arrays(mel.flatten(), SPANS * MELS)
-    return pa.ExtensionArray.from_storage(kind, flat)
+    return arrow_map(media.select("doc_id", "n_bytes", "media"), "doc_id long, n_bytes long, media binary, payload binary, tensors binary, n_blocks int, segments array<struct<start:double,end:double>>", make)
 
 
 def media_digests(media: DataFrame) -> DataFrame:
-    """Columns that tell whether the stored bytes hold the text, and a digest of the features to 1/100."""
+    """Columns that tell whether the stored bytes hold the text, and a digest of the stored tensors and segments."""
     tail = F.substring("payload", F.length("payload") - 31, F.lit(32))
-    rounded = F.transform("mel", lambda x: F.round(x * 100).cast("long").cast("string"))
     edges = F.transform("segments", lambda s: F.concat_ws("-", F.round(s["start"] * 1000).cast("long").cast("string"), F.round(s["end"] * 1000).cast("long").cast("string")))
     return media.select(
         "doc_id", "n_bytes", F.length("payload").cast("long").alias("payload_bytes"), F.sha2("payload", 256).alias("payload_sha256"), F.crc32(tail).alias("tail_crc32"),
         F.length("media").cast("long").alias("media_bytes"), F.sha2("media", 256).alias("media_sha256"),
-        F.concat(F.size("segments").cast("string"), F.lit(":"), F.md5(F.concat_ws(",", rounded)), F.lit(":"), F.md5(F.concat_ws(",", edges))).alias("feature"))
+        F.concat_ws(":", F.col("n_blocks").cast("string"), F.md5("tensors"), F.size("segments").cast("string"), F.md5(F.concat_ws(",", edges))).alias("feature"))

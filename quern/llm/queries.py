@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import chat_format, decontaminate, licenses, line_dedup, media, packing, secrets, simhash, suffix_dedup, toxicity
+from .shared import staged
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -42,7 +43,8 @@ def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return media.media_digests(media.audio_features(media.encode_media(table(spark, sf_dir, "documents"))))
+    stored = staged(media.encode_media(table(spark, sf_dir, "documents")), "media")
+    return media.media_digests(media.audio_features(stored))
 
 
 def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
