@@ -1,16 +1,16 @@
 """Toxicity by a weighted lexicon, matched after folding disguises."""
 
-from __future__ import annotations
-
 import math
 import zlib
+from collections.abc import Callable, Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import arrow_map, documents_of
+from .shared import arrow_map, documents_of, give_back
 
 # Letters of other scripts that look like Latin ones, and digits or signs used for letters.
 HOMOGLYPHS = dict(zip("абвгеёзіјкмнорстухѕԁһվɡαβεικνορτυχ", "abbreezijkmhopctyxsdhugabeiknoptux"))
@@ -48,8 +48,9 @@ def unmask(word: str) -> str:
     return bare
 
 
-def is_held_out(doc_id: int) -> bool:
-    return zlib.crc32(str(doc_id).encode()) % 4 == 2
+def is_held_out(doc_id: int | None) -> bool:
+    """A row without an id has no label to learn from and is never held out."""
+    return doc_id is not None and zlib.crc32(str(doc_id).encode()) % 4 == 2
 
 
 def word_table(docs: DataFrame, labels: DataFrame, sample: int) -> DataFrame:
@@ -160,7 +161,8 @@ def fit(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> np.ndarray:
 def score_toxicity(docs: DataFrame, lexicon: Lexicon, cut: float = 0.3) -> DataFrame:
     """(doc_id, held_out, score, predicted, hits) for every row; null and empty texts score like a text without hits.
 
-    One scan without a shuffle; repeated rows get equal scores; other columns are ignored.
+    One scan without a shuffle; repeated rows get equal scores; a null doc_id stays null and is
+    not held out; other columns are ignored; an empty table gives no rows.
     """
     weights, coef = lexicon.weights, lexicon.coef
 
@@ -176,3 +178,17 @@ def score_toxicity(docs: DataFrame, lexicon: Lexicon, cut: float = 0.3) -> DataF
         return each
 
     return arrow_map(documents_of(docs), "doc_id long, held_out boolean, score double, predicted int, hits string", make)
+
+
+def score_column(lexicon: Lexicon) -> Callable[[Column], Column]:
+    """The score as a function of a text column, for filters that keep all other columns; a null text scores like an empty one."""
+    weights, coef = lexicon.weights, lexicon.coef
+
+    @F.pandas_udf("double")
+    def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        own = Lexicon(weights, coef)
+        for texts in batches:
+            yield pd.Series([own.score(t or "")[0] for t in texts], dtype="float64")
+        give_back()
+
+    return score

@@ -2,6 +2,7 @@
 
 import base64
 import hashlib
+import math
 import random
 import zlib
 
@@ -56,7 +57,7 @@ def test_resampling_and_mel_against_plain_sums():
     mel, db = media.log_mel(media.resample(x), media.mel_bank())
     frame = media.resample(x)[media.HOP:media.HOP + media.FRAME] * np.hanning(media.FRAME)
     assert np.allclose(mel[1], np.log(np.abs(np.fft.rfft(frame, media.FFT)) ** 2 @ media.mel_bank() + 1e-6), atol=1e-2)
-    assert len(db) == len(mel) and media.features(media.to_wav(b"\x80" * 576), media.mel_bank())[0].shape == (media.SPANS, media.MELS)
+    assert len(db) == len(mel) and media.features(media.to_wav(b"\x80" * 576), media.mel_bank())[0].shape == (1, media.BLOCK, media.MELS)
 
 
 def test_segments_have_hysteresis():
@@ -64,12 +65,48 @@ def test_segments_have_hysteresis():
     assert media.segments(db) == [(2, 7), (11, 14)]
 
 
-def test_fixed_shape_tensor(spark, odd):
+def plain_features(raw):
+    """Frames and segments of 8-bit samples by plain sums; None where a value is too near to a rounding edge to tell."""
+    x = (np.frombuffer(raw, np.uint8).astype(float) - 128) / 128
+    half, up, down = 12, media.UP, media.DOWN
+    h = np.zeros(2 * half * up + 1)
+    for p, taps in enumerate(media.phases(up, down, half)):
+        h[p::up] = taps[::-1]
+    wide = np.zeros(len(x) * up)
+    wide[::up] = x
+    y = np.convolve(wide, h)[half * up::down][: -(-len(x) * up // down)]
+    y = np.concatenate([y, np.zeros(max(0, media.FRAME - len(y)))])
+    frames = np.array([y[a:a + media.FRAME] * np.hanning(media.FRAME) for a in range(0, len(y) - media.FRAME + 1, media.HOP)])
+    mel = np.log(np.abs(np.fft.rfft(frames, media.FFT)) ** 2 @ media.mel_bank() + 1e-6)
+    db = 10 * np.log10((frames**2).mean(1) + 1e-10)
+    on, runs = False, []
+    for k, v in enumerate(db):
+        if not on and v >= db.max() + media.ON_DB:
+            on, first = True, k
+        elif on and v < db.max() + media.OFF_DB:
+            on = False
+            runs.append((first, k))
+    runs += [(first, len(db))] if on else []
+    return mel, [r for r in runs if r[1] - r[0] >= media.LEAST_FRAMES]
+
+
+def test_stored_tensors_against_plain_sums(spark, odd):
     import pyarrow as pa
+    from conftest import ODD
 
-    table = media.audio_features(media.encode_media(odd)).select("mel").toArrow()
-    tensor = media.as_tensor(table["mel"].combine_chunks().cast(pa.list_(pa.float32())))
-    assert tensor.type.shape == [media.SPANS, media.MELS] and len(tensor) == table.num_rows
+    texts = dict(ODD)
+    rows = media.audio_features(media.encode_media(odd)).collect()
+    second = media.HOP * media.DOWN / (media.RATE * media.UP)
+    for r in rows:
+        table = media.from_tensors(bytes(r.tensors))
+        mel = table["mel"].combine_chunks()
+        assert isinstance(mel.type, pa.FixedShapeTensorType) and mel.type.shape == [media.BLOCK, media.MELS] and r.n_blocks == len(mel)
+        want, runs = plain_features(media.payload_of(texts[r.doc_id] or ""))
+        own = mel.to_numpy_ndarray().reshape(-1, media.MELS)
+        assert np.abs(own[: len(want)] - want).max() < 0.02 and (own[len(want):] == own.dtype.type(-13.82)).all()
+        assert len(own) - len(want) < media.BLOCK and abs(table["end"].to_pylist()[-1] - len(want) * second) < 1e-9
+        assert table["start"].to_pylist() == [k * media.BLOCK * second for k in range(len(mel))]
+        assert [(round(s.start / second), round(s.end / second)) for s in r.segments] == runs, r.doc_id
 
 
 def secret_texts():
@@ -131,6 +168,34 @@ def test_toxicity_learns_and_holds_out(spark):
     assert again.weights == lexicon.weights and again.coef == lexicon.coef  # held-out labels have no say
 
 
+def plain_score(text, weights, coef):
+    """Every place of every lexicon entry by its own search."""
+    words = [toxicity.unmask(w) for w in "".join(toxicity.HOMOGLYPHS.get(c, c) for c in text.lower() if c not in "\u200b\u200c\u200d\u2060\ufeff\u00ad").split()]
+    own = [w for w in words if w]
+    free = [range(k, k + len(p)) for p in (x.split() for x in toxicity.EXCEPTIONS) for k in range(len(own)) if own[k:k + len(p)] == p]
+    hits = [e for k, w in enumerate(own) for e in weights if (w == e or e[-1] == "*" and w.startswith(e[:-1])) and not any(k in r for r in free)]
+    total = sum(weights[e] for e in hits)
+    x = total, total / (len(words) + 10) ** 0.5, sum(max(0, weights[e]) for e in set(hits))
+    z = coef[0] + sum(c * math.tanh(v / s) for c, v, s in zip(coef[1:], x, toxicity.SCALES))
+    return 1 / (1 + math.exp(-z))
+
+
+def test_toxicity_scores_equal_plain_search(spark, docs, odd):
+    rnd = random.Random(3)
+    weights = {"moron": 4.0, "moro*": 1.5, "idiot": 5.0, "trash": 3.0, "scum": 2.5, "sore": -1.0, "loser": 3.5, "ab*": 0.5}
+    coef = (-3.0, 4.0, 5.0, 2.0)
+    bits = ["moron", "MORON!", "m0r0n,", "morons", "idiot", "іdіоt", "1d1ot", "idi\u200bot", "trash", "trash can", "pond scum", "scum", "a sore loser", "loser", "abc", "ab", "x", "\n", "(idiot)", "idiot proof"]
+    rows = [(i, " ".join(rnd.choice(bits) for _ in range(rnd.randrange(30)))) for i in range(300)] + [(1000 + i, t) for i, t in docs[:60]] + [(None, "moron"), (None, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    lexicon = toxicity.Lexicon(weights, coef)
+    got = toxicity.score_toxicity(df, lexicon).withColumn("column", F.lit(0)).collect()
+    want = sorted((i if i is not None else -1, round(plain_score(t or "", weights, coef), 9)) for i, t in rows)
+    assert sorted((r.doc_id if r.doc_id is not None else -1, round(r.score, 9)) for r in got) == want
+    column = df.select("doc_id", toxicity.score_column(lexicon)(F.col("text")).alias("score")).collect()
+    assert sorted((r.doc_id if r.doc_id is not None else -1, round(r.score, 9)) for r in column) == want
+    assert not any(r.held_out for r in got if r.doc_id is None)
+
+
 def test_toxicity_edges(spark, odd, none):
     lexicon = toxicity.Lexicon({"loser": 5.0, "trash": 5.0}, (-3.0, 4.0, 4.0, 4.0))
     assert lexicon.score("a sore loser")[1] == [] and lexicon.score("such a loser")[1] == ["loser"] and lexicon.score("trash can")[1] == []
