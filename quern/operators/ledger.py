@@ -49,11 +49,21 @@ def append(ledger: DataFrame, rows: DataFrame) -> DataFrame:
     return ledger.unionByName(rows.select(*ledger.columns))
 
 
+def one_per_id(rows: DataFrame) -> DataFrame:
+    """``rows`` with one row an id: of several, the greatest by its columns from left to right (null is least)."""
+    own = [c for c in rows.columns if c != "id"]
+    if not own:
+        return rows.distinct()
+    return rows.groupBy("id").agg(F.max(F.struct(*own)).alias("_r")).select(*["id" if c == "id" else F.col(f"_r.`{c}`").alias(c) for c in rows.columns])
+
+
 def update_by_id(ledger: DataFrame, changes: DataFrame, write_nulls: bool = False) -> DataFrame:
     """``ledger`` with the columns of ``changes`` put in by id; ids that it hasn't are ignored.
 
-    Nulls in ``changes`` leave the old value, or with ``write_nulls`` replace it.
+    Nulls in ``changes`` leave the old value, or with ``write_nulls`` replace it. Of several
+    changes of an id one counts (:func:`one_per_id`), so no row is multiplied.
     """
+    changes = one_per_id(changes)
     own = [c for c in changes.columns if c != "id"]
     new = changes.select("id", F.lit(True).alias("_hit"), *[F.col(c).alias(f"_{c}") for c in own])
     out = ledger.join(new, "id", "left")
@@ -67,7 +77,8 @@ def update_by_id(ledger: DataFrame, changes: DataFrame, write_nulls: bool = Fals
 
 
 def merge_upsert(ledger: DataFrame, rows: DataFrame) -> DataFrame:
-    """Rows replace those of their id and join otherwise: an anti join and a union, no window over the ledger."""
+    """Rows replace those of their id and join otherwise: an anti join and a union, no window over the ledger. Of several rows of an id one counts."""
+    rows = one_per_id(rows.select(*ledger.columns))
     return ledger.join(rows.select("id"), "id", "left_anti").select(*ledger.columns).unionByName(rows.select(*ledger.columns))
 
 

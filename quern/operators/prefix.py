@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -9,18 +10,31 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
-def bucketed(df: DataFrame, key: str, buckets: int = 64) -> DataFrame:
-    """``df`` with ``_bucket``: rows dealt by approximate quantiles of the numeric ``key``; nulls come first.
+def splitters(df: DataFrame, order: Sequence[str], buckets: int) -> list[tuple]:
+    """Keys that cut ``df`` into about ``buckets`` parts of equal size in the order of ``order``: quantiles of a random sample of bounded size."""
+    total = min(4096, 32 * buckets)
+    rows = [tuple(r) for r in df.select(*order).orderBy(F.rand(17)).limit(total).orderBy(*order).collect()]
+    return list(dict.fromkeys(rows[i * len(rows) // buckets] for i in range(1, buckets))) if rows else []
 
-    Splits come from one aggregate of bounded size. Equal keys share a bucket, and buckets are in
-    the order of the keys, so what is summed per bucket can be carried over.
+
+def bucketed(df: DataFrame, order: Sequence[str], buckets: int | None = None) -> DataFrame:
+    """``df`` with ``_bucket``: rows dealt by sampled splitters of the whole key ``order``, nulls first.
+
+    Equal keys share a bucket, and buckets are in the order of the keys, so what is summed per
+    bucket can be carried over; one frequent first column is split by the others. The number
+    follows the shuffle partitions, from 64 to 512. A row's bucket is found on two levels.
     """
-    at = [i / buckets for i in range(1, buckets)]
-    bounds = df.agg(F.percentile_approx(key, at, 1000)).first()[0] or []
-    split = F.lit(0)
-    if bounds:
-        split = F.when(F.col(key).isNull(), -1).otherwise(F.size(F.filter(F.array(*[F.lit(b) for b in sorted(set(bounds))]), lambda b: b < F.col(key))))
-    return df.withColumn("_bucket", split)
+    buckets = buckets or max(64, min(512, 2 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+    kinds = [df.schema[c].dataType for c in order]
+    bounds = splitters(df, order, buckets)
+    if not bounds:
+        return df.withColumn("_bucket", F.lit(0))
+    literal = lambda rows: F.array(*[F.struct(*[F.lit(v).cast(k).alias(c) for v, k, c in zip(r, kinds, order)]) for r in rows])
+    step = math.isqrt(len(bounds)) + 1
+    coarse, key = bounds[step - 1::step], F.struct(*order)
+    below = lambda b: b <= F.col("_key")
+    out = df.withColumn("_key", key).withColumn("_bucket", F.size(F.filter(literal(coarse), below)) * step if coarse else F.lit(0))
+    return out.withColumn("_bucket", F.col("_bucket") + F.size(F.filter(F.slice(literal(bounds), F.col("_bucket") + 1, F.lit(step)), below))).drop("_key")
 
 
 def carried(df: DataFrame, value: Column) -> DataFrame:
@@ -29,12 +43,12 @@ def carried(df: DataFrame, value: Column) -> DataFrame:
     return sums.select("_bucket", (F.sum("_s").over(W.orderBy("_bucket")) - F.col("_s")).alias("_before"), F.sum("_s").over(W.partitionBy()).alias("_total"))
 
 
-def running_sum(df: DataFrame, order: Sequence[str], value: str, name: str = "cum", total: str | None = None, buckets: int = 64) -> DataFrame:
-    """Running sum in the order of ``order`` (whose first column is numeric); rows that tie share a value, as with a RANGE frame.
+def running_sum(df: DataFrame, order: Sequence[str], value: str, name: str = "cum", total: str | None = None, buckets: int | None = None) -> DataFrame:
+    """Running sum in the order of ``order``; rows that tie share a value, as with a RANGE frame.
 
-    Two levels: sums per bucket, of which there are at most ``buckets`` + 1, then a window in each.
+    Two levels: sums per bucket, of which there are at most ``buckets``, then a window in each.
     """
-    dealt = bucketed(df, order[0], buckets)
+    dealt = bucketed(df, order, buckets)
     own = F.sum(value).over(W.partitionBy("_bucket").orderBy(*order).rangeBetween(W.unboundedPreceding, W.currentRow))
     out = dealt.withColumn("_own", own).join(F.broadcast(carried(dealt, F.col(value))), "_bucket")
     out = out.withColumn(name, F.col("_own") + F.col("_before"))
@@ -43,9 +57,9 @@ def running_sum(df: DataFrame, order: Sequence[str], value: str, name: str = "cu
     return out.drop("_bucket", "_own", "_before", "_total")
 
 
-def ordinal(df: DataFrame, order: Sequence[str], name: str = "n", start: int | Column = 1, buckets: int = 64) -> DataFrame:
+def ordinal(df: DataFrame, order: Sequence[str], name: str = "n", start: int | Column = 1, buckets: int | None = None) -> DataFrame:
     """Numbers from ``start`` on in the order of ``order``, two-level like :func:`running_sum`."""
-    dealt = bucketed(df, order[0], buckets)
+    dealt = bucketed(df, order, buckets)
     own = F.row_number().over(W.partitionBy("_bucket").orderBy(*order))
     first = F.lit(start) if isinstance(start, int) else start
     out = dealt.withColumn("_own", own).join(F.broadcast(carried(dealt, F.lit(1))), "_bucket")

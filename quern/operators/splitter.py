@@ -88,21 +88,37 @@ def chunk_table(chunked: DataFrame) -> DataFrame:
     return g.select("grp", F.col("a.relative_fno").alias("first_fno"), F.col("a.block_id").alias("first_block"), F.col("b.relative_fno").alias("last_fno"), F.col("b.end").alias("last_block"), "sum_blocks")
 
 
-def chunk_predicate() -> Column:
-    """A chunk's range as text over (fno, blk)."""
-    pair = lambda a, b: joined(F.lit("("), F.col(a), F.lit(", "), F.col(b), F.lit(")"))
-    return joined(F.lit("(fno, blk) BETWEEN "), pair("first_fno", "first_block"), F.lit(" AND "), pair("last_fno", "last_block"))
+# The first and last row of a block.
+FIRST_ROW, LAST_ROW = 0, 10000
 
 
-def queue_lines(chunks: DataFrame, source: str, target: str) -> DataFrame:
+def chunk_predicate(object_id: Column) -> Column:
+    """A chunk's range as text over (obj, fno, blk, row): from the first row of its first block to the last one of its last."""
+    place = lambda f, b, row: joined(F.lit("("), object_id, F.lit(", "), F.col(f), F.lit(", "), F.col(b), F.lit(f", {row})"))
+    return joined(F.lit("(obj, fno, blk, row) BETWEEN "), place("first_fno", "first_block", FIRST_ROW), F.lit(" AND "), place("last_fno", "last_block", LAST_ROW))
+
+
+def queue_lines(chunks: DataFrame, source: str, target: str, object_id: Column) -> DataFrame:
     """The chunks as lines of a queue file: quoted query and target, six empty columns."""
-    query = joined(F.lit(f'"SELECT * FROM {source} WHERE '), chunk_predicate(), F.lit(f'"|"{target}"||||||'))
+    query = joined(F.lit(f'"SELECT * FROM {source} WHERE '), chunk_predicate(object_id), F.lit(f'"|"{target}"||||||'))
     return chunks.select("grp", query.alias("value"))
 
 
+def with_ends(chunked: DataFrame) -> DataFrame:
+    """Every extent with its chunk's first and last place and weight: a join with the chunk table, which has a row a chunk, instead of windows over whole chunks."""
+    return chunked.join(F.broadcast(chunk_table(chunked)), "grp")
+
+
 def in_chunks(extents: DataFrame, chunks: DataFrame) -> DataFrame:
-    """Extents with the chunk whose range holds them; the chunk table has a row a chunk and is broadcast."""
-    place = F.struct(F.col("relative_fno").alias("f"), F.col("block_id").alias("b"))
-    low = F.struct(F.col("first_fno").alias("f"), F.col("first_block").alias("b"))
-    high = F.struct(F.col("last_fno").alias("f"), F.col("last_block").alias("b"))
-    return extents.join(F.broadcast(chunks), (place >= low) & (place <= high))
+    """Extents with the chunk whose range holds them, without those that none does.
+
+    The chunk table, a row a chunk, is one sorted array on every executor. Ranges are disjoint,
+    so an extent's chunk is the last one that begins at or before it, if that one ends there or
+    after: a count of beginnings, no pair of an extent and a chunk is made.
+    """
+    place = lambda f, b: F.struct(F.col(f).alias("f"), F.col(b).alias("b"))
+    entry = F.struct(place("first_fno", "first_block").alias("low"), place("last_fno", "last_block").alias("high"), F.struct(*chunks.columns).alias("c"))
+    table = chunks.agg(F.array_sort(F.collect_list(entry)).alias("_chunks"))
+    out = extents.join(F.broadcast(table)).withColumn("_at", place("relative_fno", "block_id"))
+    out = out.withColumn("_c", F.get("_chunks", F.size(F.filter(F.col("_chunks.low"), lambda low: low <= F.col("_at"))) - 1))
+    return out.where(F.col("_at") <= F.col("_c.high")).select(*extents.columns, "_c.c.*")

@@ -36,13 +36,19 @@ PROD = Settings(gap=120.0, poll=60.0)
 
 @dataclass
 class Runner:
-    """``load(item)`` does one item, idempotently: a target path or key of its own, so that a second try changes nothing."""
+    """``load(item)`` does one item, idempotently: a target path or key of its own, so that a second try changes nothing.
+
+    Before it, jobs that an earlier try of the item left under its slot are cancelled and
+    ``reset(item)`` clears what it left (views, partitions, staged files); ``cleanup(item)``
+    follows the load, whether it did well or not.
+    """
 
     spark: SparkSession
     store: ParquetLedger
     load: Callable[[object], None]
     settings: Settings = field(default_factory=Settings)
     cleanup: Callable[[object], None] = lambda item: None
+    reset: Callable[[object], None] = lambda item: None
 
     def start(self, items: DataFrame) -> None:
         """Take up the run in the ledger, or begin it with ``items``. Items left running by a dead driver are new again."""
@@ -61,8 +67,10 @@ class Runner:
     def _one(self, item, slot: str) -> None:
         self.spark.sparkContext.setLocalProperty("spark.scheduler.pool", slot)
         self.spark.sparkContext.setJobGroup(slot, f"item {item.id}")
+        self.spark.interruptTag(slot)
         self.spark.addTag(slot)
         try:
+            self.reset(item)
             self.load(item)
         finally:
             self.spark.removeTag(slot)
@@ -94,6 +102,7 @@ class Runner:
                     log.info("started %s", slot)
                     continue
                 pause = min(s.poll, max(0.0, s.gap - (s.clock() - last))) if free else s.poll
+                log.debug("review: %d running, %s next", len(running), "one" if item is not None else "none")
                 done, _ = wait(running, timeout=pause, return_when=FIRST_COMPLETED)
                 for f in done:
                     self._ended(f, running.pop(f), now())
@@ -109,9 +118,17 @@ class Runner:
         except Exception as e:
             if status == L.COMPLETED:
                 status, notes = L.FAILED_DROP, str(e)[:2000]
+        if status == L.COMPLETED:
+            log.info("ended item %s: %s", item.id, status)
+        else:
+            log.warning("ended item %s: %s: %s", item.id, status, notes)
         self.record(item, status=status, finished_datetime=at, **({"notes": notes} if notes else {}))
 
     def stop(self) -> None:
-        """Interrupt all jobs of the run."""
+        """Interrupt all jobs of the run and clean up after each."""
         for r in L.current_run(self.store.read(), self.settings.run).where(F.col("status") == L.RUNNING).collect():
             self.spark.interruptTag(r.namespace)
+            try:
+                retried(lambda: self.cleanup(r), 2, 0)
+            except Exception as e:
+                log.warning("cleanup of item %s: %s", r.id, e)

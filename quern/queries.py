@@ -93,9 +93,10 @@ def distinct_chunks(spark, sf_dir):
     return splitter.chunk_table(chunked(spark, sf_dir))
 
 
-@query(_EXT + "SELECT grp, '(fno, blk) BETWEEN (' || first_fno || ', ' || first_block || ') AND (' || last_fno || ', ' || last_block || ')' AS predicate FROM chunks")
+@query(_EXT + "SELECT grp, '(obj, fno, blk, row) BETWEEN (' || n_nationkey || ', ' || first_fno || ', ' || first_block || ', 0) AND (' || n_nationkey || ', ' || last_fno || ', ' || last_block || ', 10000)' AS predicate FROM chunks, nation WHERE n_nationkey = 7")
 def render_chunk_predicate(spark, sf_dir):
-    return splitter.chunk_table(chunked(spark, sf_dir)).select("grp", splitter.chunk_predicate().alias("predicate"))
+    one = table(spark, sf_dir, "nation").where("n_nationkey = 7").select(F.col("n_nationkey").alias("data_object_id"))
+    return splitter.chunk_table(chunked(spark, sf_dir)).crossJoin(F.broadcast(one)).select("grp", splitter.chunk_predicate(F.col("data_object_id")).alias("predicate"))
 
 
 @query(_EXT + "SELECT c.grp, count(*) AS n, CAST(sum(e.blocks) AS BIGINT) AS weight FROM ext e JOIN chunks c ON row(e.relative_fno, e.block_id) >= row(c.first_fno, c.first_block) AND row(e.relative_fno, e.block_id) <= row(c.last_fno, c.last_block) GROUP BY 1")
@@ -115,21 +116,17 @@ def win_total_sum(spark, sf_dir):
     return rows.crossJoin(F.broadcast(rows.agg(F.sum("blocks").alias("total")))).select("relative_fno", "block_id", "total")
 
 
-def whole():
-    return W.partitionBy("grp").orderBy("relative_fno", "block_id").rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
-
-
 _WHOLE_SQL = "OVER (PARTITION BY grp ORDER BY relative_fno, block_id ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)"
 
 
 @query(_EXT + f"SELECT relative_fno, block_id, grp, first_value(relative_fno) {_WHOLE_SQL} AS first_fno, first_value(block_id) {_WHOLE_SQL} AS first_block FROM chunked")
 def win_first_value(spark, sf_dir):
-    return chunked(spark, sf_dir).select("relative_fno", "block_id", "grp", F.first("relative_fno").over(whole()).alias("first_fno"), F.first("block_id").over(whole()).alias("first_block"))
+    return splitter.with_ends(chunked(spark, sf_dir)).select("relative_fno", "block_id", "grp", "first_fno", "first_block")
 
 
 @query(_EXT + f"SELECT relative_fno, block_id, grp, last_value(relative_fno) {_WHOLE_SQL} AS last_fno, last_value(block_id + blocks - 1) {_WHOLE_SQL} AS last_block FROM chunked")
 def win_last_value(spark, sf_dir):
-    return chunked(spark, sf_dir).select("relative_fno", "block_id", "grp", F.last("relative_fno").over(whole()).alias("last_fno"), F.last(F.col("block_id") + F.col("blocks") - 1).over(whole()).alias("last_block"))
+    return splitter.with_ends(chunked(spark, sf_dir)).select("relative_fno", "block_id", "grp", "last_fno", "last_block")
 
 
 @query(_EXT + "SELECT relative_fno, block_id, grp, CAST(sum(blocks) OVER (PARTITION BY grp) AS BIGINT) AS sum_blocks FROM chunked")
@@ -179,10 +176,15 @@ def hosts(spark, sf_dir) -> DataFrame:
     return table(spark, sf_dir, "pages").select("page_id", F.get(F.split(F.get(F.split("url", "://"), F.lit(1)), "/"), F.lit(0)).alias("host"))
 
 
-@query(f"SELECT page_id, host FROM ({_NAMED}) WHERE len(string_split(host, '.')) = 2 AND starts_with(host, 'th') OR len(string_split(host, '.')) = 3 AND starts_with(host, 'm.')")
+_SHORT = f"SELECT page_id, CASE WHEN page_id % 3 = 0 THEN host ELSE split_part(host, '.', 1) || '.' || split_part(host, '.', 2) END AS name FROM ({_NAMED})"
+
+
+@query(f"SELECT page_id, name FROM ({_SHORT}) WHERE len(string_split(name, '.')) = 2 AND starts_with(name, 'blog') OR ends_with(name, '.net') AND NOT starts_with(name, 'www.')")
 def name_prefix_filter(spark, sf_dir):
-    three = (F.size(F.split("host", r"\.")) == 3) & F.startswith("host", F.lit("m."))
-    return hosts(spark, sf_dir).where(text.has_run_prefix(F.col("host"), "th") | three)
+    """Names of two to four segments: two of them and the first begins with a prefix, or another end."""
+    name = F.when(F.col("page_id") % 3 == 0, F.col("host")).otherwise(F.substring_index("host", ".", 2)).alias("name")
+    other = F.endswith("name", F.lit(".net")) & ~F.startswith("name", F.lit("www."))
+    return hosts(spark, sf_dir).select("page_id", name).where(text.has_run_prefix(F.col("name"), "blog") | other)
 
 
 @query("SELECT page_id, coalesce(TRY_CAST(nullif(regexp_extract(url, '(?i)/EN/(\\d+)', 1), '') AS BIGINT), -1) AS number FROM pages")
@@ -195,9 +197,9 @@ def namespace_extract(spark, sf_dir):
     return hosts(spark, sf_dir).select("page_id", text.namespace_of(F.col("host")).alias("namespace"))
 
 
-@query(r"SELECT conv_id, turn, regexp_replace('  ' || left(text, 20) || chr(9), '^\s+|\s+$', '', 'g') AS stripped FROM conversations")
+@query(r"SELECT conv_id, turn, regexp_replace('  ' || text || chr(9), '^\s+|\s+$', '', 'g') AS stripped FROM conversations")
 def string_trim(spark, sf_dir):
-    return table(spark, sf_dir, "conversations").select("conv_id", "turn", text.stripped(F.concat(F.lit("  "), F.left("text", F.lit(20)), F.lit("\t"))).alias("stripped"))
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", text.stripped(F.concat(F.lit("  "), F.col("text"), F.lit("\t"))).alias("stripped"))
 
 
 @query("SELECT d.doc_id, coalesce(l.quality, -1) AS quality, coalesce(l.toxic, 0) = 1 AS toxic FROM documents d LEFT JOIN labels l USING (doc_id)")
@@ -260,13 +262,20 @@ def throttle_gap(spark, sf_dir):
 _LEDGER = """WITH ledger AS (SELECT o_orderkey AS id, row_number() OVER (ORDER BY o_orderkey) AS roworder, 100 + o_orderkey % 3 AS uniquerunid,
   'SELECT * FROM S.T WHERE k = ''' || o_orderkey || '''' AS query, 'job_' || (100 + o_orderkey % 3) || '_' || (o_orderkey % 50 + 1) || '.App' AS appname, 'D.T' AS targettbl,
   CASE o_orderstatus WHEN 'F' THEN 'COMPLETED' WHEN 'O' THEN 'NEW' WHEN 'P' THEN 'RUNNING' END AS status,
-  'job_' || (100 + o_orderkey % 3) || '_' || (o_orderkey % 50 + 1) AS namespace, strftime(o_orderdate, '%Y-%m-%d') AS started, CAST(NULL AS VARCHAR) AS notes, o_orderkey % 2 = 0 AS iscurrentrow FROM orders)
+  'job_' || (100 + o_orderkey % 3) || '_' || (o_orderkey % 50 + 1) AS namespace, o_orderdate AS started_datetime,
+  CASE o_orderstatus WHEN 'F' THEN o_orderdate + INTERVAL 90 SECOND END AS finished_datetime, CAST(NULL AS VARCHAR) AS notes, o_orderkey % 2 = 0 AS iscurrentrow FROM orders)
 """
-_COLUMNS = "id, roworder, uniquerunid, query, appname, targettbl, status, namespace, started, notes, iscurrentrow"
+_STAMPS = "strftime(started_datetime, '%Y-%m-%d %H:%M:%S.%f') AS started_datetime, strftime(finished_datetime, '%Y-%m-%d %H:%M:%S.%f') AS finished_datetime"
+_COLUMNS = f"id, roworder, uniquerunid, query, appname, targettbl, status, namespace, {_STAMPS}, notes, iscurrentrow"
+
+
+def shown(rows: DataFrame) -> DataFrame:
+    """A ledger with its timestamps as text."""
+    return rows.withColumns({c: timing.stamp_text(F.col(c)) for c in ("started_datetime", "finished_datetime")})
 
 
 def items(spark, sf_dir) -> DataFrame:
-    """A ledger made of orders."""
+    """A ledger of all twelve columns made of orders."""
     o = prefix.ordinal(table(spark, sf_dir, "orders"), ["o_orderkey"], "roworder")
     key = F.col("o_orderkey")
     run = F.lit(100) + key % 3
@@ -274,7 +283,8 @@ def items(spark, sf_dir) -> DataFrame:
     status = F.when(F.col("o_orderstatus") == "F", "COMPLETED").when(F.col("o_orderstatus") == "O", "NEW").when(F.col("o_orderstatus") == "P", "RUNNING")
     return o.select(
         key.alias("id"), "roworder", run.alias("uniquerunid"), F.concat(F.lit("SELECT * FROM S.T WHERE k = '"), key.cast("string"), F.lit("'")).alias("query"), F.concat(space, F.lit(".App")).alias("appname"),
-        F.lit("D.T").alias("targettbl"), status.alias("status"), space.alias("namespace"), F.date_format("o_orderdate", "yyyy-MM-dd").alias("started"), F.lit(None).cast("string").alias("notes"), (key % 2 == 0).alias("iscurrentrow"))
+        F.lit("D.T").alias("targettbl"), status.alias("status"), space.alias("namespace"), F.col("o_orderdate").cast("timestamp_ntz").alias("started_datetime"),
+        F.when(F.col("o_orderstatus") == "F", timing.plus_seconds(F.col("o_orderdate").cast("timestamp_ntz"), F.lit(90))).alias("finished_datetime"), F.lit(None).cast("string").alias("notes"), (key % 2 == 0).alias("iscurrentrow"))
 
 
 @query("""SELECT * FROM (VALUES ('id', 'bigint'), ('roworder', 'bigint'), ('uniquerunid', 'bigint'), ('query', 'string'), ('appname', 'string'), ('targettbl', 'string'), ('status', 'string'),
@@ -286,30 +296,32 @@ def ledger_schema(spark, sf_dir):
 @query(_LEDGER + f"SELECT {_COLUMNS} FROM ledger UNION ALL SELECT {_COLUMNS.replace('id, ', 'id + 1000000, ', 1)} FROM ledger WHERE status = 'NEW'")
 def ledger_append(spark, sf_dir):
     rows = items(spark, sf_dir)
-    return ledger.append(rows, rows.where("status = 'NEW'").withColumn("id", F.col("id") + 1_000_000))
+    return shown(ledger.append(rows, rows.where("status = 'NEW'").withColumn("id", F.col("id") + 1_000_000)))
 
 
 @query(_LEDGER + f"SELECT {_COLUMNS} FROM ledger WHERE id = 777")
 def ledger_point_lookup(spark, sf_dir):
-    return ledger.lookup(items(spark, sf_dir), 777)
+    return shown(ledger.lookup(items(spark, sf_dir), 777))
 
 
 @query(_LEDGER + f"SELECT {_COLUMNS} FROM ledger WHERE iscurrentrow AND uniquerunid = {RUN}")
 def ledger_filter_current_run(spark, sf_dir):
-    return ledger.rows_where(items(spark, sf_dir), f"iscurrentrow = True AND uniquerunid = {RUN}")
+    return shown(ledger.rows_where(items(spark, sf_dir), f"iscurrentrow = True AND uniquerunid = {RUN}"))
 
 
-_CHANGES = "SELECT o_orderkey AS id, CASE WHEN o_orderkey % 10 = 0 THEN 'FAILED' END AS status, o_orderpriority AS notes FROM orders WHERE o_orderkey % 5 = 0"
+_CHANGES = "SELECT o_orderkey AS id, CASE WHEN o_orderkey % 10 = 0 THEN 'FAILED' END AS status, o_orderdate + INTERVAL 20 SECOND AS finished_datetime, o_orderpriority AS notes FROM orders WHERE o_orderkey % 5 = 0"
 
 
 def changes(spark, sf_dir) -> DataFrame:
     key = F.col("o_orderkey")
-    return table(spark, sf_dir, "orders").where(key % 5 == 0).select(key.alias("id"), F.when(key % 10 == 0, "FAILED").alias("status"), F.col("o_orderpriority").alias("notes"))
+    return table(spark, sf_dir, "orders").where(key % 5 == 0).select(key.alias("id"), F.when(key % 10 == 0, "FAILED").alias("status"), timing.plus_seconds(F.col("o_orderdate").cast("timestamp_ntz"), F.lit(20)).alias("finished_datetime"), F.col("o_orderpriority").alias("notes"))
 
 
-@query(_LEDGER + f", s AS ({_CHANGES}) SELECT l.* REPLACE (coalesce(s.status, l.status) AS status, coalesce(s.notes, l.notes) AS notes) FROM ledger l LEFT JOIN s USING (id)")
+@query(_LEDGER + f", s AS ({_CHANGES}) SELECT {_COLUMNS} FROM (SELECT l.* REPLACE (coalesce(s.status, l.status) AS status, coalesce(s.finished_datetime, l.finished_datetime) AS finished_datetime, coalesce(s.notes, l.notes) AS notes) FROM ledger l LEFT JOIN s USING (id))")
 def ledger_update_by_id(spark, sf_dir):
-    return ledger.update_by_id(items(spark, sf_dir), changes(spark, sf_dir))
+    """Every change is there twice, once without a status, and counts once."""
+    own = changes(spark, sf_dir)
+    return shown(ledger.update_by_id(items(spark, sf_dir), own.unionByName(own.withColumn("status", F.lit(None).cast("string")))))
 
 
 _SOURCE = f"SELECT l.* REPLACE (id + 7 AS id, 'FAILED' AS status) FROM ledger l WHERE uniquerunid = {RUN}"
@@ -318,19 +330,23 @@ _SOURCE = f"SELECT l.* REPLACE (id + 7 AS id, 'FAILED' AS status) FROM ledger l
 @query(_LEDGER + f", s AS ({_SOURCE}) SELECT {_COLUMNS} FROM s UNION ALL SELECT {_COLUMNS} FROM ledger WHERE id NOT IN (SELECT id FROM s)")
 def ledger_merge_upsert(spark, sf_dir):
     rows = items(spark, sf_dir)
-    return ledger.merge_upsert(rows, ledger.rows_where(rows, f"uniquerunid = {RUN}").withColumns({"id": F.col("id") + 7, "status": F.lit("FAILED")}))
+    new = ledger.rows_where(rows, f"uniquerunid = {RUN}").withColumns({"id": F.col("id") + 7, "status": F.lit("FAILED")})
+    return shown(ledger.merge_upsert(rows, new.unionByName(new)))
+
+
+_CLEARED = f"SELECT l.* REPLACE (CASE WHEN uniquerunid = {RUN} THEN false ELSE iscurrentrow END AS iscurrentrow) FROM ledger l"
 
 
-@query(_LEDGER + f"SELECT l.* REPLACE (CASE WHEN uniquerunid = {RUN} THEN false ELSE iscurrentrow END AS iscurrentrow) FROM ledger l")
+@query(_LEDGER + f"SELECT {_COLUMNS} FROM ({_CLEARED})")
 def ledger_clear_run(spark, sf_dir):
-    return ledger.clear_run(items(spark, sf_dir), RUN)
+    return shown(ledger.clear_run(items(spark, sf_dir), RUN))
 
 
-@query(_LEDGER + f", s AS (SELECT l.* REPLACE ('FAILED' AS status) FROM ledger l WHERE uniquerunid = {RUN}) SELECT l.* REPLACE (CASE WHEN uniquerunid = {RUN} THEN false ELSE iscurrentrow END AS iscurrentrow) FROM ledger l UNION ALL SELECT s.* REPLACE (true AS iscurrentrow) FROM s")
+@query(_LEDGER + f", s AS (SELECT l.* REPLACE ('FAILED' AS status) FROM ledger l WHERE uniquerunid = {RUN}) SELECT {_COLUMNS} FROM ({_CLEARED} UNION ALL SELECT s.* REPLACE (true AS iscurrentrow) FROM s)")
 def ledger_new_version(spark, sf_dir):
     """Extension: slowly changing rows."""
     rows = items(spark, sf_dir)
-    return ledger.new_version(rows, rows.where(F.col("uniquerunid") == RUN).withColumn("status", F.lit("FAILED")))
+    return shown(ledger.new_version(rows, rows.where(F.col("uniquerunid") == RUN).withColumn("status", F.lit("FAILED"))))
 
 
 @query(_LEDGER + "SELECT id, roworder, status FROM ledger WHERE coalesce(status, '') NOT IN ('RUNNING', 'COMPLETED', 'FAILED', 'COMPLETED-FAILEDDROP') ORDER BY roworder, id")
@@ -391,6 +407,44 @@ def insert_ignore_duplicates(spark, sf_dir):
     return loader.insert_ignore(rows.where("k % 3 = 0"), rows.unionByName(rows), ["k"])
 
 
+@query("SELECT c_custkey AS k, c_name AS v, CASE WHEN c_custkey % 2 = 1 THEN c_mktsegment END AS segment FROM customer")
+def evolve_columns(spark, sf_dir):
+    """Rows with a column that the target hasn't yet: it is added, null in the old rows."""
+    rows = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("k"), F.col("c_name").alias("v"), F.col("c_mktsegment").alias("segment"))
+    return loader.evolved(rows.where("k % 2 = 0").drop("segment"), rows.where("k % 2 = 1"))
+
+
+def derby(spark, sf_dir) -> tuple[str, dict[str, str]]:
+    """An own database in the driver's memory, holding customers; for sessions in one process."""
+    import uuid
+
+    from .sources import jdbc
+
+    url, driver = f"jdbc:derby:memory:quern{uuid.uuid4().hex};create=true", {"driver": "org.apache.derby.jdbc.EmbeddedDriver"}
+    jdbc.table_sink(table(spark, sf_dir, "customer").selectExpr("c_custkey AS K", "c_nationkey AS N", "c_acctbal AS B").coalesce(1), url, "CUSTOMER", **driver)
+    return url, driver
+
+
+@query("SELECT c_custkey AS k, c_acctbal AS b FROM customer WHERE c_nationkey < 12")
+def jdbc_query_scan(spark, sf_dir):
+    """A table written in batches over JDBC and read back by a query of the source."""
+    from .sources import jdbc
+
+    url, driver = derby(spark, sf_dir)
+    return jdbc.query_source(spark, url, "SELECT K, B FROM CUSTOMER WHERE N < 12", **driver).select(F.col("K").alias("k"), F.col("B").alias("b"))
+
+
+@query("SELECT c_nationkey AS n, count(*) AS c, min(c_custkey) AS low, max(c_custkey) AS high FROM customer GROUP BY 1")
+def jdbc_ranged_load(spark, sf_dir):
+    """Key ranges of a JDBC table, a partition each, appended in batches to another one and read again."""
+    from .sources import jdbc
+
+    url, driver = derby(spark, sf_dir)
+    jdbc.table_sink(jdbc.ranged_source(spark, url, "CUSTOMER", "K", splitter.integer_ranges([50, 700, 1400]), **driver).coalesce(1), url, "COPY", **driver)
+    rows = jdbc.query_source(spark, url, "SELECT * FROM COPY", **driver)
+    return rows.groupBy(F.col("N").alias("n")).agg(F.count(F.lit(1)).alias("c"), F.min("K").alias("low"), F.max("K").alias("high"))
+
+
 @query("SELECT c_custkey AS id, c_name AS name, c_acctbal AS balance FROM customer")
 def column_map_projection(spark, sf_dir):
     target = spark.range(1).select(text.split_target(F.lit("DW.CUST ColumnMap(name=c_name, id=c_custkey, balance=c_acctbal) KeyColumns(id)")).alias("t")).first().t

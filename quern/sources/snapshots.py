@@ -2,8 +2,14 @@
 
 from __future__ import annotations
 
+import time
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
+from ..operators.monitor import Snapshot
+
 
 class SnapshotSource(DataSource):
     """``spark.read.format("snapshot").option("url", "http://a,http://b").load()``: (url, snapshot)."""
@@ -32,3 +38,19 @@ class SnapshotReader(DataSourceReader):
 
         with urlopen(partition.value, timeout=self.timeout) as reply:
             yield partition.value, reply.read().decode()
+
+
+def valid_snapshots(read: Callable[[], DataFrame], snapshot: Snapshot, window: float = 900, wait: float = 30, clock: Callable[[], float] = time.monotonic, sleep: Callable[[float], None] = time.sleep) -> DataFrame:
+    """What ``read()`` gives once each of its snapshots is valid: read again every ``wait`` seconds, for ``window`` seconds at most."""
+    until = clock() + window
+    while True:
+        try:
+            rows = read()
+            if rows.where(~snapshot.valid()).isEmpty():
+                return rows
+            why = "snapshots are not valid"
+        except OSError as e:
+            why = str(e)
+        if clock() + wait > until:
+            raise TimeoutError(f"{why} for {window:g} seconds")
+        sleep(wait)

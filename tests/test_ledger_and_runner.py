@@ -52,6 +52,61 @@ def test_writing_nulls_and_versions(spark):
     assert sorted((r.id, r.status, r.iscurrentrow) for r in new) == [(1, "NEW", True), (2, "COMPLETED", True), (2, "RUNNING", False)]
 
 
+def test_changes_of_one_id_count_once(spark):
+    df = rows(spark, (1, 100, "NEW"), (2, 100, "RUNNING"))
+    twice = spark.createDataFrame([(1, "FAILED"), (1, "COMPLETED"), (1, None), (9, "NEW"), (9, "FAILED")], "id long, status string")
+    assert sorted((r.id, r.status) for r in L.update_by_id(df, twice).collect()) == [(1, "FAILED"), (2, "RUNNING")]
+    merged = L.merge_upsert(df, rows(spark, (1, 100, "FAILED"), (1, 100, "NEW"), (3, 100, "NEW"), (3, 100, "NEW")))
+    assert sorted((r.id, r.status) for r in merged.collect()) == [(1, "NEW"), (2, "RUNNING"), (3, "NEW")]
+
+
+def test_two_writers_lose_nothing(spark, tmp_path):
+    one, two = (open_ledger(spark, "parquet", str(tmp_path / "l")) for _ in range(2))
+    put = lambda s, ids: [s.change(lambda df, i=i: L.append(df, rows(spark, (i, 100, "NEW")))) for i in ids]
+    threads = [threading.Thread(target=put, args=(s, ids)) for s, ids in ((one, range(1, 5)), (two, range(5, 9)))]
+    for t in threads:
+        t.start()
+    for t in threads:
+        t.join()
+    assert sorted(states(one.read())) == list(range(1, 9)) and len(one.versions()) <= 4
+    (tmp_path / "l" / "_lock").write_text("")
+    held = type(one)(spark, one.path, tries=2, wait=0)
+    with pytest.raises(TimeoutError, match="another writer"):
+        held.change(lambda df: df)
+
+
+def test_new_columns(spark):
+    from quern.operators.loader import evolved
+
+    a, b = spark.createDataFrame([(1, "x")], "k int, v string"), spark.createDataFrame([(2, 5)], "k int, w int")
+    assert sorted(map(str, evolved(a, b).collect())) == ["Row(k=1, v='x', w=None)", "Row(k=2, v=None, w=5)"]
+    assert evolved(a, b, "ignore").columns == ["k", "v"]
+    with pytest.raises(ValueError, match="new columns: w"):
+        evolved(a, b, "halt")
+
+
+def test_snapshots_are_read_again_until_valid(spark):
+    from quern.operators.monitor import Snapshot
+    from quern.sources.snapshots import valid_snapshots
+
+    good, bad, now, seen = '[{"output":{"applications":[]}}]', "[]", [0.0], []
+
+    def read():
+        seen.append(now[0])
+        if len(seen) == 1:
+            raise OSError("refused")
+        return spark.createDataFrame([(bad if len(seen) < 4 else good,)], "j string")
+
+    def sleep(x):
+        now[0] += x
+
+    again = lambda: valid_snapshots(read, Snapshot("j"), 900, 30, lambda: now[0], sleep)
+    assert again().first().j == good and seen == [0, 30, 60, 90]
+    seen.clear()
+    with pytest.raises(TimeoutError, match="not valid"):
+        valid_snapshots(lambda: spark.createDataFrame([(bad,)], "j string"), Snapshot("j"), 60, 30, lambda: now[0], sleep)
+
+
 def test_queue_choice(spark):
     df = rows(spark, (3, 1, "NEW"), (1, 1, "RUNNING"), (2, 1, None), (4, 1, "COMPLETED-FAILEDDROP"), (5, 1, "FAILED"))
     assert [r.id for r in L.pending(df).collect()] == [2, 3] and L.next_pending(df).first().id == 2
@@ -79,11 +134,12 @@ def test_runner(spark, tmp_path):
         if item.id == 3:
             raise OSError("busy")
 
-    run = Runner(spark, store, load, Settings(run=100, cap=2, gap=0.0, poll=0.1), cleanup)
+    clear = []
+    run = Runner(spark, store, load, Settings(run=100, cap=2, gap=0.0, poll=0.1), cleanup, lambda item: clear.append(item.id))
     run.start(rows(spark, *[(i, 100, "NEW") for i in range(1, 6)]))
     done = {r.id: r for r in run.go()}
     assert {i: r.status for i, r in done.items()} == {1: "COMPLETED", 2: "FAILED", 3: "COMPLETED-FAILEDDROP", 4: "COMPLETED", 5: "COMPLETED"}
-    assert sorted(seen) == [1, 2, 3, 4, 5] and most[1] <= 2 and "no such table" in done[2].notes
+    assert sorted(seen) == sorted(clear) == [1, 2, 3, 4, 5] and most[1] <= 2 and "no such table" in done[2].notes
     assert not any(r.iscurrentrow for r in done.values()) and all(r.finished_datetime for r in done.values())
     run.start(rows(spark, *[(i, 100, "NEW") for i in range(11, 13)]))  # the run is past: the next start loads the queue again
     assert L.current_run(store.read(), 100).count() == 2

@@ -63,10 +63,26 @@ def test_ordinals_and_sums_equal_a_global_window(spark):
     assert sums == {(r.k, r.s, r.c) for r in spark.sql("SELECT k, s, sum(v) OVER (ORDER BY k, s) c FROM t").collect()}
 
 
+def test_buckets_split_a_frequent_first_column(spark):
+    df = spark.createDataFrame([(1, f"b{i:05d}") for i in range(4000)], "f int, b string")
+    sizes = [r["count"] for r in prefix.bucketed(df, ["f", "b"], 16).groupBy("_bucket").count().collect()]
+    assert 12 <= len(sizes) <= 16 and max(sizes) < 700
+    got = [r.n for r in prefix.ordinal(df, ["f", "b"], "n").orderBy("b").collect()]
+    assert got == list(range(1, 4001))
+
+
+def test_extents_outside_all_chunks(spark):
+    extents = spark.createDataFrame([(1, 0, 5), (1, 5, 5), (1, 20, 1), (2, 0, 9), (3, 0, 1)], "relative_fno long, block_id long, blocks long")
+    chunks = spark.createDataFrame([(0, 1, 0, 1, 9), (4, 2, 0, 2, 8)], "grp long, first_fno long, first_block long, last_fno long, last_block long")
+    assert sorted((r.relative_fno, r.block_id, r.grp) for r in splitter.in_chunks(extents, chunks).collect()) == [(1, 0, 0), (1, 5, 0), (2, 0, 4)]
+
+
 def test_queue_lines_read_back(spark):
     from quern.sources.queue_file import scan_queue
 
     df = spark.createDataFrame([(1, 0, 5), (1, 5, 5), (2, 0, 9)], "relative_fno long, block_id long, blocks long")
-    lines = splitter.queue_lines(splitter.chunk_table(splitter.chunk_by_weight(df, 2)), "S.T", "D.T")
+    lines = splitter.queue_lines(splitter.chunk_table(splitter.chunk_by_weight(df, 2)), "S.T", "D.T", F.lit(77))
     got = scan_queue(lines.select((F.col("grp") + 1).alias("line"), "value")).orderBy("roworder").collect()
-    assert [tuple(r) for r in got] == [(1, "SELECT * FROM S.T WHERE (fno, blk) BETWEEN (1, 0) AND (1, 4)", "D.T"), (2, "SELECT * FROM S.T WHERE (fno, blk) BETWEEN (1, 5) AND (2, 8)", "D.T")]
+    assert [tuple(r) for r in got] == [
+        (1, "SELECT * FROM S.T WHERE (obj, fno, blk, row) BETWEEN (77, 1, 0, 0) AND (77, 1, 4, 10000)", "D.T"),
+        (2, "SELECT * FROM S.T WHERE (obj, fno, blk, row) BETWEEN (77, 1, 5, 0) AND (77, 2, 8, 10000)", "D.T")]
