@@ -85,7 +85,7 @@ def arrow_map(df: DataFrame, schema: str, make: Callable[[], Callable[[pa.Record
     return df.mapInArrow(run, schema)
 
 
-BATCH_BYTES = 16 << 20  # of an Arrow batch between the JVM and Python; also the JVM's buffers are as large
+BATCH_BYTES = 8 << 20  # of an Arrow batch between the JVM and Python; also the JVM's buffers are as large
 
 
 def small_batches(spark: SparkSession) -> None:
@@ -107,7 +107,7 @@ def give_back() -> None:
         ctypes.CDLL(None).malloc_trim(0)
 
 
-def slices(batch: pa.RecordBatch, limit: int = 8 << 20) -> Iterator[pa.RecordBatch]:
+def slices(batch: pa.RecordBatch, limit: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     """Cut a batch into parts of about ``limit`` bytes, so that a worker's memory stays small."""
     rows = max(1, int(batch.num_rows * min(1, limit / max(1, batch.nbytes))))
     for at in range(0, batch.num_rows, rows):
