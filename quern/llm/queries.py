@@ -122,17 +122,21 @@ def _license_sql() -> str:
         c = f"' ' || trim(regexp_replace({c}, {quoted(licenses._MARKS)}, ' ', 'g')) || ' '"
         for word, own in licenses.SPELLINGS:
             c = f"replace({c}, ' {word} ', ' {own} ')"
-        return f"sha256(trim({c}))"
+        return f"trim({c})"
 
     known = ", ".join(f"({quoted(k)}, {quoted(t)})" for k, t in licenses.KNOWN)
+    long = ", ".join(f"({quoted(k)}, '{d}', '{f}', {n})" for k, d, f, n in licenses.LONG)
+    parts = lambda c: f"list_filter(list_transform(regexp_split_to_array({c}, '\\n[ \\t\\r]*\\n'), lambda x: {canonical('x')}), lambda x: x <> '')"
     return f"""
-WITH known AS (SELECT {canonical("body")} AS digest, min(license) AS license FROM (VALUES {known}) t(license, body) GROUP BY 1),
-texts AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
-cut AS (SELECT doc_id, regexp_split_to_array(text, '\\n[ \\t\\r]*\\n') AS paragraphs, string_split(text, chr(10)) AS lines FROM texts),
-units AS (SELECT doc_id, 'document' AS unit, 0 AS unit_no, text AS body FROM texts
-  UNION ALL SELECT doc_id, 'paragraph', i - 1, paragraphs[i] FROM (SELECT *, unnest(generate_series(1, len(paragraphs))) AS i FROM cut WHERE len(paragraphs) > 1)
-  UNION ALL SELECT doc_id, 'line', i - 1, lines[i] FROM (SELECT *, unnest(generate_series(1, len(lines))) AS i FROM cut WHERE len(lines) > 1))
-SELECT doc_id, unit, CAST(unit_no AS BIGINT) AS unit_no, license, digest FROM (SELECT doc_id, unit, unit_no, {canonical("body")} AS digest FROM units) JOIN known USING (digest)
+WITH short AS (SELECT license, {parts("body")} AS p FROM (VALUES {known}) t(license, body)),
+known AS (SELECT digest, min(license) AS license, min(first) AS first, min(parts) AS parts FROM (
+  SELECT license, sha256(array_to_string(p, ' ')) AS digest, sha256(p[1]) AS first, len(p) AS parts FROM short UNION ALL SELECT * FROM (VALUES {long}) t(license, digest, first, parts)) GROUP BY 1),
+cut AS (SELECT doc_id, {parts("coalesce(text, '')")} AS p, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents),
+starts AS (SELECT doc_id, p, i, sha256(p[i]) AS first FROM (SELECT *, unnest(generate_series(1, len(p))) AS i FROM cut)),
+units AS (SELECT doc_id, 'document' AS unit, 0 AS unit_no, sha256(array_to_string(p, ' ')) AS digest FROM cut
+  UNION ALL SELECT doc_id, 'paragraph', i - 1, sha256(array_to_string(p[i:i + parts - 1], ' ')) FROM starts JOIN (SELECT DISTINCT first, parts FROM known) USING (first) WHERE i + parts - 1 <= len(p) AND parts < len(p)
+  UNION ALL SELECT doc_id, 'line', i - 1, sha256({canonical("lines[i]")}) FROM (SELECT *, unnest(generate_series(1, len(lines))) AS i FROM cut WHERE len(lines) > 1))
+SELECT doc_id, unit, CAST(unit_no AS BIGINT) AS unit_no, license, digest FROM units JOIN known USING (digest)
 """
 
 
