@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 END, PART = "</turn>\n", "<part/>"
+PARTS = 256  # turns whose spans are summed up in one go
 
 
 def escaped(c: Column) -> Column:
@@ -51,10 +52,18 @@ def format_chats(conversations: DataFrame) -> DataFrame:
             (at + F.length(p["body"]) + F.length(p["tail"])).alias("at"),
             F.when(p["loss"], F.concat(acc["spans"], F.array(own))).otherwise(acc["spans"]).alias("spans"))
 
-    return chats.select(
+    def chain(acc: Column, part: Column) -> Column:
+        own = F.transform(part["spans"], lambda s: F.struct((acc["at"] + s["start"]).alias("start"), s["chars"].alias("chars")))
+        return F.struct((acc["at"] + part["at"]).alias("at"), F.concat(acc["spans"], F.array(own)).alias("spans"))
+
+    # an array that grows turn by turn costs the square of its length, so a long conversation is taken in parts
+    numbers = F.sequence(F.lit(0), F.floor((F.size("ps") - 1) / PARTS).cast("int"))
+    parts = F.transform(numbers, lambda k: F.aggregate(F.slice("ps", k * PARTS + 1, F.lit(PARTS)), start, step))
+    none = F.struct(F.lit(0).cast("int").alias("at"), F.array().cast("array<array<struct<start:int,chars:int>>>").alias("spans"))
+    return chats.select("conv_id", "ps", parts.alias("parts")).select(
         "conv_id",
         F.array_join(F.transform("ps", lambda p: F.concat(p["head"], p["body"], p["tail"])), "").alias("formatted"),
-        F.aggregate("ps", start, step)["spans"].alias("loss_spans"))
+        F.flatten(F.aggregate("parts", none, chain)["spans"]).alias("loss_spans"))
 
 
 def read_back(formatted: DataFrame) -> DataFrame:
