@@ -232,7 +232,7 @@ def exact_groups(rows, words=5, similarity=0.8):
     for a, i in enumerate(ids):
         for j in ids[:a]:
             both = len(sets[i] & sets[j])
-            if both >= similarity * (len(sets[i]) * len(sets[j])) ** 0.5 - 1e-9:
+            if both >= similarity * (len(sets[i]) * len(sets[j])) ** 0.5 - 1e-9 and bool(sets[i]) == bool(sets[j]):
                 low, high = sorted((find(i), find(j)))
                 root[high] = low
     return {i: find(i) for i in ids}

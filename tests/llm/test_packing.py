@@ -136,6 +136,88 @@ def test_pipeline(spark, sf, docs):
     check_packed(pipeline.run(spark, sf).collect(), texts, 2048)
 
 
+def test_pipeline_equals_brute_force(spark, sf, docs, tmp_path):
+    """Every stage's rows against plain versions, on documents with planted cases of each kind."""
+    from test_dedup import every_run, exact_groups
+    from test_scans import plain_score
+
+    from quern.llm import toxicity
+
+    pipeline, rnd = pytest.importorskip("corpus_pipeline"), random.Random(5)
+    word = lambda: "".join(rnd.choice("abcdefghijklmnop") for _ in range(rnd.randrange(3, 9)))
+    prose = lambda n: "\n".join(" ".join(word() for _ in range(12)) for _ in range(n))
+    items = [(r.item_id, r.text) for r in spark.read.parquet(f"{sf}/benchmark.parquet").orderBy("item_id").collect()]
+    own = [(i, t) for i, t in docs if t and len(t) < 2000]
+    labels = [(r.doc_id, r.toxic) for r in spark.read.parquet(f"{sf}/labels.parquet").collect()]
+    rows, made = list(own), iter(range(10**6, 2 * 10**6))
+
+    def put(text):
+        rows.append((next(made), text))
+        return rows[-1][0]
+
+    toxic = []
+    for k in range(60):
+        toxic.append(put(f"{prose(2)} such a vilething you foulword {word()}" if k % 2 else prose(3)))
+        labels.append((toxic[-1], k % 2))
+    base = " ".join(word() for _ in range(120))
+    put(base)
+    for _ in range(4):
+        words = base.split()
+        for k in rnd.sample(range(120), 3):
+            words[k] = word()
+        put(" ".join(words))
+    twin = prose(1)
+    put(f"{twin} end"), put(f"{twin} end.")
+    block = prose(3)
+    put(f"{prose(2)}\n{block}\n{prose(1)}"), put(f"{block}\n{prose(2)}"), put(block)
+    leaks = {put(f"{prose(2)} {t} {prose(2)}") for _, t in items[:8]}
+    rows += [(None, prose(2)), (1, prose(2)), (next(made), None), (next(made), "")]
+    other = {"lang": "en", "source": "s"}
+    schema = spark.read.parquet(f"{sf}/documents.parquet").schema
+    for name, df in (("documents", spark.createDataFrame([tuple({"doc_id": i, "text": t, "n_chars": len(t or "")}.get(c, other.get(c)) for c in schema.names) for i, t in rows], schema)),
+                     ("labels", spark.createDataFrame([(i, 1, k) for i, k in labels], "doc_id long, quality int, toxic int")), ("benchmark", spark.createDataFrame(items, "item_id long, text string"))):
+        df.repartition(2).write.parquet(f"{tmp_path}/{name}.parquet")
+    at = str(tmp_path)
+    df = spark.read.parquet(f"{at}/documents.parquet")
+    lexicon = toxicity.learn(df, spark.read.parquet(f"{at}/labels.parquet"))
+    key = lambda r: (r[0] is not None, r[0] or 0, r[1] or "")
+
+    def after(stage, df):
+        out = spark.createDataFrame(stage(spark, df, at).collect(), df.schema)
+        return out, sorted(((r.doc_id, r.text) for r in out.collect()), key=key)
+
+    df, got = after(pipeline.drop_toxic, df)
+    assert got == sorted([r for r in rows if plain_score(r[1] or "", lexicon.weights, lexicon.coef) < 0.3], key=key)
+    assert not set(toxic[1::2]) & {i for i, _ in got} and set(toxic[::2]) <= {i for i, _ in got}
+
+    before = got
+    df, got = after(pipeline.drop_repeated_lines, df)
+    want = every_run([(k, t or "") for k, (_, t) in enumerate(before)])
+    assert got == sorted([(i, t if t is None else want[k]) for k, (i, t) in enumerate(before) if want[k].strip(" ") or want[k] == (t or "")], key=key)
+
+    before = got
+    df, got = after(pipeline.drop_near_copies, df)
+    groups = exact_groups([(k, t) for k, (_, t) in enumerate(before)])
+    assert got == [r for k, r in enumerate(before) if groups[k] == k] and len(got) < len(before) - 5
+
+    before = got
+    df, got = after(pipeline.drop_leaks, df)
+    some, whole = set(), set()
+    for i, t in before:
+        words = decontaminate.words_of(t or "")
+        for _, x in items:
+            item = decontaminate.words_of(x)
+            n = len(item)
+            if any(words[a:a + n] == item for a in range(len(words) - n + 1)):
+                whole.add((i, t))
+            elif len(set(item) & set(words)) >= 0.5 * len(set(item)) and any(brute.lcs(item, words[a:a + 2 * n]) >= 0.8 * n for a in range(0, max(1, len(words) - n), max(1, n // 2))):
+                some.add((i, t))
+    assert not whole & set(got) and set(before) - set(got) <= whole | some and leaks & {i for i, _ in whole} == leaks
+    texts = [(k, t) for k, (_, t) in enumerate(got)]
+    numbered = spark.createDataFrame([tuple({"doc_id": k, "text": t, "n_chars": 0}.get(c, other.get(c)) for c in schema.names) for k, t in texts], schema)
+    check_packed(pipeline.pack(spark, numbered, at).collect(), dict(texts), 2048)
+
+
 def test_pipeline_stages_on_nothing(spark, sf):
     pipeline = pytest.importorskip("corpus_pipeline")
     for name, stage in pipeline.STAGES:

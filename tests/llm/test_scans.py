@@ -3,11 +3,13 @@
 import base64
 import hashlib
 import math
+import os
 import random
 import zlib
 
 import brute
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from quern.llm import chat_format, licenses, media, queries, secrets, toxicity
@@ -29,6 +31,13 @@ def test_chat_round_trip(spark):
     assert chat_format.read_back(chat_format.format_chats(df.limit(0))).count() == 0
 
 
+def test_a_very_long_conversation(spark):
+    rows = [(1, k, "assistant" if k % 3 else "user", f"turn {k} <" * (k % 4)) for k in range(20_000)]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    got = chat_format.read_back(chat_format.format_chats(df)).first()
+    assert [(t.role, t.text) for t in got.turns] == [r[2:] for r in rows] and got.loss_text == "".join(t for *_, r, t in rows if r == "assistant")
+
+
 def test_media_round_trip(spark, odd, none, sf):
     rows = queries.media.media_digests(media.audio_features(media.encode_media(odd))).collect()
     from conftest import ODD
@@ -138,12 +147,29 @@ def test_licenses(spark, odd, none):
     rows = [(1, "MIT Licence\r\n\r\nCopyright (c) 2020 Somebody\r\n\r\n" + mit.replace(",", " ,").upper()), (2, "prose\nreleased under the MIT licence\nprose"), (3, "intro here\n\n" + licenses._ISC.split("\n\n")[0]),
             (4, "before\n  \nThis work is licensed under the GNU General Public License, v 3\n  \nafter"), (5, "Released under the MITT License."), (6, None), (7, "")]
     got = {(r.doc_id, r.unit, r.license) for r in licenses.scan_licenses(spark.createDataFrame([(*r, "x") for r in rows], "doc_id long, text string, digest string")).collect()}
-    assert got == {(1, "document", "MIT"), (2, "line", "MIT"), (4, "paragraph", "GPL-3.0-only"), (4, "line", "GPL-3.0-only")}
+    assert got == {(1, "document", "MIT"), (1, "paragraph", "MIT"), (2, "line", "MIT"), (4, "paragraph", "GPL-3.0-only"), (4, "line", "GPL-3.0-only")}
+    inside = [(1, "About it.\n\n" + licenses._BSD3.replace("\n\n", "\n \n\n") + "\n\nEnd of it."), (2, "x\n\nCopyright 2001 A. Body\n\n" + licenses._MIT + "\n\n" + licenses._ZLIB + "\n\n" + licenses._MIT), (3, licenses._MIT.rsplit(" ", 1)[0] + "\n\nz")]
+    got = sorted((r.doc_id, r.unit, r.unit_no, r.license) for r in licenses.scan_licenses(spark.createDataFrame(inside, "doc_id long, text string")).collect())
+    assert got == [(1, "paragraph", 1, "BSD-3-Clause"), (2, "paragraph", 1, "MIT"), (2, "paragraph", 4, "Zlib"), (2, "paragraph", 9, "MIT")]
+    assert all(any(k in t.lower() for k in licenses.KEYWORDS) for _, t in licenses.KNOWN)
     assert licenses.scan_licenses(none).count() == 0 and licenses.scan_licenses(odd).count() == 0
     plan = licenses.scan_licenses(odd)._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan
 
 
+@pytest.mark.skipif(not os.path.isdir("/usr/share/common-licenses"), reason="no licence texts here")
+def test_long_licenses(spark):
+    """Whole published texts, and the same inside a longer text with another layout."""
+    names = {"Apache-2.0": "Apache-2.0", "GPL-2.0-only": "GPL-2", "GPL-3.0-only": "GPL-3", "LGPL-2.1-only": "LGPL-2.1", "LGPL-3.0-only": "LGPL-3", "MPL-1.1": "MPL-1.1", "MPL-2.0": "MPL-2.0", "CC0-1.0": "CC0-1.0"}
+    rows = []
+    for i, (k, f) in enumerate(names.items()):
+        with open(f"/usr/share/common-licenses/{f}") as file:
+            text = file.read()
+        rows += [(i, text), (100 + i, "Some words.\n\n" + text.upper().replace("\n\n", "\r\n\r\n") + "\n\nMore words.")]
+    got = {r.doc_id: (r.unit, r.license) for r in licenses.scan_licenses(spark.createDataFrame(rows, "doc_id long, text string").repartition(8)).collect() if r.unit != "line"}
+    assert got == {i + a: (unit, k) for i, k in enumerate(names) for a, unit in ((0, "document"), (100, "paragraph"))}
+
+
 def test_toxicity_learns_and_holds_out(spark):
     rnd = random.Random(2)
     plain = [f"w{i}x" for i in range(200)]
