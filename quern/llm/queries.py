@@ -112,6 +112,23 @@ FROM marked GROUP BY conv_id
 """
 
 
+#: Windows of 8 words from and up to every line, grouped by their whole content; a position is doc_id * 10^9 + line.
+_LINES = """
+WITH docs AS (SELECT doc_id, text, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents),
+lines AS (SELECT doc_id, i - 1 AS line_no, CASE WHEN trim(ls[i], ' ') = '' THEN 0 ELSE length(ls[i]) - length(replace(ls[i], ' ', '')) + 1 END AS w FROM (SELECT *, unnest(generate_series(1, len(ls))) AS i FROM docs)),
+ends AS (SELECT doc_id, line_no, CAST(coalesce(sum(w) OVER (PARTITION BY doc_id ORDER BY line_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS before
+  FROM (SELECT * FROM lines UNION ALL SELECT doc_id, len(ls), 0 FROM docs)),
+windows AS (SELECT doc_id, line_no AS a, min(line_no) OVER (PARTITION BY doc_id ORDER BY before RANGE BETWEEN 8 FOLLOWING AND UNBOUNDED FOLLOWING) AS e FROM ends
+  UNION SELECT doc_id, max(line_no) OVER (PARTITION BY doc_id ORDER BY before RANGE BETWEEN UNBOUNDED PRECEDING AND 8 PRECEDING), line_no FROM ends),
+bodies AS (SELECT doc_id, a, e, e - a AS n, array_to_string(ls[a + 1:e], chr(10)) AS body FROM windows JOIN docs USING (doc_id) WHERE a IS NOT NULL AND e IS NOT NULL),
+firsts AS (SELECT doc_id, a, e, min(doc_id * 1000000000 + a) OVER (PARTITION BY n, body) AS first FROM bodies),
+gone AS (SELECT doc_id, list(DISTINCT x) AS xs FROM (SELECT doc_id, unnest(generate_series(a + 1, e)) AS x FROM firsts WHERE doc_id * 1000000000 + a > first) GROUP BY doc_id),
+kept AS (SELECT doc_id, docs.text AS own, ls, xs, CASE WHEN xs IS NULL THEN docs.text
+  ELSE coalesce(array_to_string(list_transform(list_filter(generate_series(1, len(ls)), lambda i: NOT list_contains(xs, i)), lambda i: ls[i]), chr(10)), '') END AS text FROM docs LEFT JOIN gone USING (doc_id))
+SELECT doc_id, CAST(CASE WHEN own IS NULL THEN 0 ELSE len(ls) END AS BIGINT) AS n_lines, CAST(coalesce(len(xs), 0) AS BIGINT) AS n_removed, sha256(text) AS kept_sha256, text FROM kept
+"""
+
+
 def _license_sql() -> str:
     """The license scan in SQL: the same canonical form over the known texts and every unit of the documents."""
     quoted = lambda t: "'" + t.replace("'", "''") + "'"
@@ -141,4 +158,4 @@ SELECT doc_id, unit, CAST(unit_no AS BIGINT) AS unit_no, license, digest FROM un
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_chat_format": _CHAT, "op6_license_scan": _license_sql()}
+    return {"op1_line_dedup": _LINES, "op2_chat_format": _CHAT, "op6_license_scan": _license_sql()}
