@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import staged
+from .shared import dropped, staged
 
 
 def connected_components(edges: DataFrame) -> DataFrame:
@@ -26,6 +26,7 @@ def connected_components(edges: DataFrame) -> DataFrame:
         small = large.join(low2, "u").select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v"))
         nxt = staged(small.where("u <> v").distinct(), "edges")
         a, b = signature(e), signature(nxt)
+        dropped(e)
         e = nxt
         if a == b:
             break

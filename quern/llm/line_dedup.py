@@ -65,7 +65,7 @@ def least_windows(level: DataFrame, min_words: int) -> DataFrame:
 
 
 def repeated_runs(docs: DataFrame, min_words: int = 8) -> DataFrame:
-    """(_id, _sub, first, last): maximal runs of lines to delete.
+    """(_id, _sub, first, last), staged: maximal runs of lines to delete.
 
     A line goes if it lies in a run of ``min_words`` words or more, of however many lines, that
     starts at an earlier position too. Prefix doubling gives each line a rank by the 2^k lines
@@ -81,6 +81,7 @@ def repeated_runs(docs: DataFrame, min_words: int = 8) -> DataFrame:
     into the maximal runs. Rounds: log2 of the lines of the longest window.
     """
     found = staged(ranked(line_rows(docs), ["h1", "h2"]), "lines0")
+    levels = [found]
     level = staged(found.repartition(*_KEY).dropDuplicates([*_KEY, "line_no"]), "lines")  # rows repeated whole are one place
     windows = staged(least_windows(level, min_words), "windows")
     longest, depth, spans = windows.agg(F.max("lines")).first()[0] or 0, 1, []
@@ -97,13 +98,15 @@ def repeated_runs(docs: DataFrame, min_words: int = 8) -> DataFrame:
             break
         ahead = W.partitionBy(*_KEY).orderBy("line_no").rangeBetween(depth, depth)
         pairs = level.select(*_KEY, "line_no", F.col("rank").alias("r1"), F.first("rank").over(ahead).alias("r2"), (F.col("words") + F.first("words").over(ahead)).alias("words")).where("r2 is not null")
+        levels.append(level)
         level = staged(ranked(pairs, ["r1", "r2"]), "lines")
         depth *= 2
-    dropped(found)
     in_row = W.partitionBy(*_KEY).orderBy("line_no")
     parts = reduce(DataFrame.unionByName, spans).withColumn("far", F.max("reach").over(in_row.rowsBetween(W.unboundedPreceding, -1)))
     parts = parts.withColumn("run", F.sum(F.when(F.col("line_no") <= F.col("far"), 0).otherwise(1)).over(in_row.rowsBetween(W.unboundedPreceding, 0)))
-    return parts.groupBy(*_KEY, "run").agg(F.min("line_no").alias("first"), (F.max("reach") - 1).alias("last")).drop("run")
+    out = staged(parts.groupBy(*_KEY, "run").agg(F.min("line_no").alias("first"), (F.max("reach") - 1).alias("last")).drop("run"), "runs")
+    dropped(*levels, level, windows, *spans)
+    return out
 
 
 def dedup_lines(docs: DataFrame, min_words: int = 8) -> DataFrame:
