@@ -100,7 +100,7 @@ def half_vectors(ids: np.ndarray, half: int, rows: np.ndarray, block: int = 1 <<
     return y
 
 
-def add_by_feature(total: np.ndarray, ids: np.ndarray, y: np.ndarray, half: int, block: int = 1 << 20) -> None:
+def add_by_feature(total: np.ndarray, ids: np.ndarray, y: np.ndarray, half: int, block: int = 1 << 17) -> None:
     """total[f] += the vectors of the half windows that hold f, once for each time."""
     for at in range(0, len(ids), block):
         own = ids[at:at + block]

@@ -38,7 +38,7 @@ def staged(df: DataFrame, tag: str) -> DataFrame:
     The files outlive a lost executor, so nothing before this point is computed twice.
     """
     path = f"{scratch_dir(df.sparkSession)}/quern/{tag}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    df.write.option("compression", "zstd").option("parquet.block.size", str(32 << 20)).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
@@ -70,7 +70,11 @@ def arrow_map(df: DataFrame, schema: str, make: Callable[[], Callable[[pa.Record
     small_batches(df.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        each = make()
+        old = dict(worker_store())
+        worker_store().clear()
+        with kept_from(old):
+            each = make()
+        old.clear()
         for batch in batches:
             for part in slices(batch):
                 out = each(part)
@@ -114,15 +118,33 @@ def slices(batch: pa.RecordBatch, limit: int = 4 << 20) -> Iterator[pa.RecordBat
         yield batch.slice(at, rows)
 
 
-def per_worker(name: str, make: Callable):
-    """What ``make()`` gives, once in a Python worker: later tasks of the worker find it again."""
+@contextlib.contextmanager
+def kept_from(old: dict) -> Iterator[None]:
+    """Within, :func:`per_worker` finds what earlier tasks kept; what isn't asked for is forgotten, so that operators don't add up in a worker."""
+    store = worker_store()
+    store["old"] = old
+    try:
+        yield
+    finally:
+        del store["old"]
+
+
+def worker_store() -> dict:
+    """What this Python worker keeps from task to task."""
     import sys
     import types
 
     kept = sys.modules.setdefault("_quern_worker", types.ModuleType("_quern_worker"))
-    if not hasattr(kept, name):
-        setattr(kept, name, make())
-    return getattr(kept, name)
+    return kept.__dict__.setdefault("store", {})
+
+
+def per_worker(name: str, make: Callable):
+    """What ``make()`` gives, once in a Python worker: later tasks find it again, until one comes that doesn't ask for it."""
+    store = worker_store()
+    if name not in store:
+        old = store.get("old", {})
+        store[name] = old[name] if name in old else make()
+    return store[name]
 
 
 def rows_by_bits(ids: DataFrame, bits: int = 1 << 24) -> DataFrame:

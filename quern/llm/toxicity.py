@@ -5,12 +5,11 @@ import zlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import arrow_map, documents_of, give_back
+from .shared import arrow_map, documents_of, give_back, worker_store
 
 # Letters of other scripts that look like Latin ones, and digits or signs used for letters.
 HOMOGLYPHS = dict(zip("абвгеёзіјкмнорстухѕԁһվɡαβεικνορτυχ", "abbreezijkmhopctyxsdhugabeiknoptux"))
@@ -184,11 +183,12 @@ def score_column(lexicon: Lexicon) -> Callable[[Column], Column]:
     """The score as a function of a text column, for filters that keep all other columns; a null text scores like an empty one."""
     weights, coef = lexicon.weights, lexicon.coef
 
-    @F.pandas_udf("double")
-    def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.arrow_udf("double")
+    def score(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        worker_store().clear()
         own = Lexicon(weights, coef)
         for texts in batches:
-            yield pd.Series([own.score(t or "")[0] for t in texts], dtype="float64")
+            yield pa.array([own.score(t or "")[0] for t in texts.to_pylist()], pa.float64())
         give_back()
 
     return score
