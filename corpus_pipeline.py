@@ -45,7 +45,7 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies the row with the smallest doc_id stays (null is smallest); of rows repeated whole, one."""
+    """Of each group of near copies the row with the smallest doc_id stays (null is smallest); of rows repeated whole, one. Candidates are SimHashes within 2 bits, by generalised pigeonhole, and min-wise samples; links are exact."""
     rows = with_row(docs).groupBy("_row").agg(F.min("_id").alias("_id"), F.count(F.lit(1)).alias("n"))
     again = staged(rows.where("n > 1").select(F.col("_row").alias("doc_id")), "again")
     if not again.isEmpty():

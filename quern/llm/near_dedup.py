@@ -1,4 +1,4 @@
-"""Near-duplicate groups by SimHash over min-wise samples, for similarities where one fingerprint is not selective."""
+"""Near-duplicate groups: a generalised pigeonhole search of SimHashes, min-wise samples for pairs beyond its bits, exact links."""
 
 from __future__ import annotations
 
@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from .components import connected_components
 from .shared import arrow_map, documents_of, dropped, likely, rows_by_bits, staged
-from .simhash import hashes_of_words, majority
+from .simhash import hashes_of_words, links, majority
 
 WIDE = 4  # 64-bit words of a document's wide fingerprint
 BLOCK = 128  # members of a group that are compared in one place
@@ -70,19 +70,22 @@ def majorities(x: np.ndarray) -> np.ndarray:
     return np.array([majority(r) for r in x], np.uint64)
 
 
-def similar_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8, bands: int = 32, sample: int = 3, block: int = BLOCK) -> DataFrame:
+def similar_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8, bands: int = 32, sample: int = 3, block: int = BLOCK, tau: int = 2) -> DataFrame:
     """(doc_id, group_id): group_id is the smallest doc_id that a document reaches over near-duplicate links.
 
     Two texts are near if the cosine of their sets of ``words``-word shingles, which is what
-    SimHash estimates, is ``similarity`` or more. At 0.8 they differ in up to 22 of 64 SimHash
-    bits, where partitions of a pigeonhole search are too short to select anything. So each
-    text gets ``bands`` SimHashes of min-wise samples of its shingles; similar texts agree on
-    whole words of these (threshold 0: one partition of all 64 bits) with probability
-    1 - (1 - j^sample)^bands at Jaccard similarity j, which is 0.64 at least: 0.9999 or more
-    (small sets: 0.9997, computed).
-    Texts that meet there and are close on a 256-bit SimHash of all shingles form wide groups:
-    the candidates. How many bits may differ depends on the number of shingles
-    (:func:`allowed`); a pair at the bound is lost there with ``MISS`` at most.
+    SimHash estimates, is ``similarity`` or more. The candidates come from two searches.
+    First, :func:`links` finds all pairs of 64-bit SimHashes within ``tau`` bits, by generalised
+    pigeonhole with thresholds by dynamic programming; texts of one component are linked. That
+    is exact: no such pair is lost. But at 0.8 texts differ in up to 22 bits, where partitions of
+    a pigeonhole search are too short to select anything. So, for the pairs beyond ``tau``, each
+    text also gets ``bands`` SimHashes of min-wise samples of its shingles; similar texts agree
+    on whole words of these with probability 1 - (1 - j^sample)^bands at Jaccard similarity j,
+    which is 0.64 at least: 0.9999 or more (small sets: 0.9997, computed). Texts that meet there
+    count if they are close on a 256-bit SimHash of all shingles.
+    How many bits may differ depends on the number of shingles (:func:`allowed`); a pair at the
+    bound is lost there with ``MISS`` at most. Links of both searches together form wide groups:
+    the candidates.
 
     Links are then exact: two texts of a wide group are linked if the cosine of their whole
     shingle sets is ``similarity`` or more, and :func:`group_roots` finds the components of all
@@ -99,35 +102,42 @@ def similar_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8, ban
     def make():
         def each(batch: pa.RecordBatch) -> dict:
             got = [sketch(t, words, bands, sample) for t in batch.column(1).to_pylist()]
-            return {"doc_id": batch.column(0), "keys": [k.view(np.int64) for k, _ in got], "wide": [w for _, w in got]}
+            fps = [int.from_bytes(w[:8], "little", signed=True) for _, w in got]
+            return {"doc_id": batch.column(0), "fp": fps, "keys": [k.view(np.int64) for k, _ in got], "wide": [w for _, w in got]}
 
         return each
 
-    prints = staged(arrow_map(own.select("doc_id", "text"), "doc_id long, keys array<long>, wide binary", make), "sketches")
+    prints = staged(arrow_map(own.select("doc_id", "text"), "doc_id long, fp long, keys array<long>, wide binary", make), "sketches")
     reps = prints.join(firsts.select(F.col("first").alias("doc_id")), "doc_id", "left_semi")
+    fps = staged(reps.groupBy("fp").agg(F.min("doc_id").alias("lead"), F.count(F.lit(1)).alias("n")), "fps")
+    of = lambda end: fps.select(F.col("fp").alias(end), F.col("lead").alias(f"{end}_lead"))
+    pairs = links(fps.select("fp"), tau).join(of("u"), "u").join(of("v"), "v").select(F.col("u_lead").alias("u"), F.col("v_lead").alias("v"))
+    equal = reps.join(fps.where("n > 1"), "fp").where("doc_id <> lead").select(F.col("doc_id").alias("u"), F.col("lead").alias("v"))
+    pairs = staged(pairs.unionByName(equal), "pairs")
     rows = reps.select("doc_id", "wide", F.posexplode("keys").alias("band", "k")).select(F.xxhash64("band", "k").alias("key"), "doc_id", F.col("wide").alias("body"))
     shared = staged(rows.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "shared")
     rows = likely(rows, "key", rows_by_bits(shared.select("key"))).where("_likely").drop("_likely")
     limits = allowed(similarity)
-    wide = group_roots(rows.withColumn("weight", F.lit(0).cast("long")), lambda bodies: close_sketches(bodies, limits, similarity), block)
+    wide = group_roots(rows.withColumn("weight", F.lit(0).cast("long")), lambda bodies: close_sketches(bodies, limits, similarity), block, pairs=pairs)
 
     weights = rows.select("key", "doc_id").join(shared, "key").groupBy("doc_id").agg(F.sum("n").alias("weight"))
     texts = likely(own.select("doc_id", F.col("text").cast("binary").alias("body")), "doc_id", rows_by_bits(wide.select("node"))).where("_likely").drop("_likely")
-    members = texts.join(wide.select(F.col("node").alias("doc_id"), F.col("root").alias("key")), "doc_id").join(weights, "doc_id").select("key", "doc_id", "body", "weight")
+    members = texts.join(wide.select(F.col("node").alias("doc_id"), F.col("root").alias("key")), "doc_id").join(weights, "doc_id", "left").select("key", "doc_id", "body", F.coalesce("weight", F.lit(0)).alias("weight"))
     roots = group_roots(members, lambda bodies: similar_texts(bodies, words, similarity), block)
     tied = firsts.join(roots.select(F.col("node").alias("first"), "root"), "first", "left").select("t1", "t2", F.coalesce("root", "first").alias("group_id"))
     out = staged(ids.join(tied, ["t1", "t2"]).select("doc_id", "group_id"), "near")
-    dropped(ids, prints, shared, wide, roots)
+    dropped(ids, prints, fps, pairs, shared, wide, roots)
     return out
 
 
-def group_roots(members: DataFrame, near: Callable[[list[bytes]], Callable[[int], np.ndarray]], block: int = BLOCK, room: int = ROOM) -> DataFrame:
+def group_roots(members: DataFrame, near: Callable[[list[bytes]], Callable[[int], np.ndarray]], block: int = BLOCK, room: int = ROOM, pairs: DataFrame | None = None) -> DataFrame:
     """(node, root), staged: components of the pairs of ``members`` (key, doc_id, body, weight) that share a key and are near.
 
     ``near(bodies)`` gives a function from a position to the flags of all that are near it. A
     group is compared in blocks of about ``block`` members and ``room`` bytes, each together with
     the group's heaviest member; where that leaves several parts, :func:`ties_between_parts`
-    compares them. So the result is that of comparing all pairs of every group.
+    compares them. So the result is that of comparing all pairs of every group. ``pairs`` (u, v)
+    are links that are known already.
     """
     sizes = members.groupBy("key").agg(
         F.count(F.lit(1)).alias("n"), F.sum(F.length("body")).alias("bytes"), F.max_by("doc_id", F.struct("weight", -F.col("doc_id"))).alias("head")).where("n > 1")
@@ -158,7 +168,8 @@ def group_roots(members: DataFrame, near: Callable[[list[bytes]], Callable[[int]
 
         return each
 
-    roots = staged(connected_components(arrow_map(groups, "u long, v long", make)), "roots")
+    found = arrow_map(groups, "u long, v long", make)
+    roots = staged(connected_components(found if pairs is None else found.unionByName(pairs)), "roots")
     large = met.where("blocks > 1").join(roots.withColumnRenamed("node", "doc_id"), "doc_id", "left")
     ties = ties_between_parts(large.withColumn("root", F.coalesce("root", "doc_id")), near, 8 * block, 4 * room)
     if ties.isEmpty():

@@ -269,6 +269,25 @@ def test_similar_groups_of_short_texts(spark):
     assert got == {i: i - i % 2 for i, _ in rows}
 
 
+def test_similar_groups_search_by_pigeonhole(spark):
+    """Pairs within 2 bits of their SimHashes meet by these alone: with one sample of all shingles, they share no other key."""
+    rnd = random.Random(15)
+    word = lambda: "".join(rnd.choice("abcdefghijklmnop") for _ in range(8))
+    fp = lambda t: simhash.majority(near_dedup.mixed(near_dedup.plain_hashes(t, 5), 0))
+    rows, within = [], []
+    while len(within) < 24:
+        text = [word() for _ in range(604)]
+        other = list(text)
+        other[rnd.randrange(20, 580)] = word()
+        pair = [" ".join(text), " ".join(other)]
+        bits = (fp(pair[0]) ^ fp(pair[1])).bit_count()
+        if bits in (1, 2):
+            within.append(len(rows))
+            rows += [(len(rows), pair[0]), (len(rows) + 1, pair[1])]
+    got = {r.doc_id: r.group_id for r in near_dedup.similar_groups(frame(spark, rows), bands=1, sample=10**6).collect()}
+    assert got == {i: i - i % 2 for i, _ in rows}
+
+
 @pytest.mark.parametrize("a,b,both", [(4, 5, 4), (13, 14, 12), (20, 25, 20)])
 def test_differing_bits_of_random_sets(a, b, both):
     rng = np.random.default_rng(a)

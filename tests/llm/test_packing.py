@@ -256,3 +256,18 @@ def test_pipeline_decides_by_row(spark, sf, docs):
     a, b, c, d = (text(40) for _ in range(4))
     got = after(pipeline.drop_near_copies, [(5, a), (5, b), (2, near(a)), (9, near(b)), (None, c), (None, near(c)), (8, d), (8, d)])
     assert sorted((str(i), t[:40]) for i, t in got) == sorted((str(i), t[:40]) for i, t in [(5, b), (2, a), (None, c), (8, d)])
+
+
+def test_pipeline_searches_near_copies_by_pigeonhole(spark, sf, monkeypatch):
+    """The near-dedup stage has the operator's search, thresholds by dynamic programming, look at the SimHashes of all its texts."""
+    from quern.llm import near_dedup, simhash
+
+    pipeline, planned, searched = pytest.importorskip("corpus_pipeline"), [], []
+    plan, links = simhash.plan_probes, simhash.links
+    monkeypatch.setattr(simhash, "plan_probes", lambda fps, tau: planned.append(plan(fps, tau)) or planned[-1])
+    monkeypatch.setattr(near_dedup, "links", lambda fps, tau: searched.append({r.fp for r in fps.collect()}) or links(fps, tau), raising=False)
+    whole = spark.read.parquet(f"{sf}/documents.parquet")
+    pipeline.drop_near_copies(spark, whole, sf)
+    texts = {r.text or "" for r in whole.select("text").collect()}
+    assert searched == [{simhash.signed(simhash.majority(near_dedup.mixed(near_dedup.plain_hashes(t, 5), 0))) for t in texts}]
+    assert len(planned) == 1 and sum(t + 1 for _, t in planned[0]) == 3
