@@ -29,11 +29,12 @@ def ranked(rows: DataFrame, by: list[str], kept: str = "words") -> DataFrame:
 
     Equal ranks are one LCP interval of the suffix array at this depth. Counts and firsts are
     combined before the shuffle. The classes are staged, so that the join back is a join of its
-    own, which Spark splits where one class has many rows.
+    own, which Spark splits where one class has many rows. It is a merge join at any size: the
+    classes grow with the input, so they are not broadcast while they happen to be few.
     """
     pos = F.struct(*_KEY, "line_no")
     classes = rows.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.min(pos).alias("rank")).where("n > 1").drop("n")
-    return rows.join(staged(classes, "classes"), by).select(*_KEY, "line_no", kept, "rank")
+    return rows.join(staged(classes, "classes").hint("merge"), by).select(*_KEY, "line_no", kept, "rank")
 
 
 def least_windows(level: DataFrame, min_words: int) -> DataFrame:
@@ -89,7 +90,7 @@ def repeated_runs(docs: DataFrame, min_words: int = 8) -> DataFrame:
     while True:
         here = windows.where((F.col("lines") >= depth) & (F.col("lines") < 2 * depth))
         if depth > 1:
-            at = lambda line, name: level.select(*_KEY, line.alias("line_no"), F.col("rank").alias(name))
+            at = lambda line, name: level.select(*_KEY, line.alias("line_no"), F.col("rank").alias(name)).hint("merge")
             ends = here.drop("rank").withColumn("tail", F.col("line_no") + F.col("lines") - depth)
             ends = ends.join(at(F.col("line_no"), "r1"), [*_KEY, "line_no"]).join(at(F.col("line_no"), "r2").withColumnRenamed("line_no", "tail"), [*_KEY, "tail"])
             here = ranked(ends, ["lines", "r1", "r2"], "lines")
@@ -127,7 +128,7 @@ def dedup_lines(docs: DataFrame, min_words: int = 8) -> DataFrame:
     own = [c for c in docs.columns if c not in ("n_lines", "n_removed")]
     rows = likely(keyed(docs), "_sub", rows_by_bits(spans.select("_sub")))
     whole = rows.where("not _likely").withColumns({"_gone": F.lit(None).cast(spans.schema["_gone"].dataType), "_n": F.lit(None).cast("long")})
-    cut = rows.where("_likely").join(spans, list(_KEY), "left")
+    cut = rows.where("_likely").join(spans.hint("merge"), list(_KEY), "left")
     out = whole.unionByName(cut).withColumn("_lines", F.split("text", "\n"))
     return out.select(
         *[F.when(F.col("_gone").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n")).alias("text") if c == "text" else F.col(c) for c in own],

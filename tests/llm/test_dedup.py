@@ -80,6 +80,16 @@ def test_line_dedup_of_a_long_text_and_rows_repeated_whole(spark):
     assert got == [(0, rows[4][1], 0), (1, long, 0), (2, "first\nlast", 20000), (3, "", 20000), (3, "", 20000), (4, "x", 1)]
 
 
+def test_line_dedup_joins_alike_at_any_size(spark, docs):
+    """What grows with the input is merged also while it is small, so that the shuffles grow with the input and not faster."""
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    df = frame(spark, docs)
+    classes = plan(line_dedup.ranked(line_dedup.line_rows(df), ["h1", "h2"]))
+    assert "SortMergeJoin" in classes and "BroadcastHashJoin" not in classes
+    cut = plan(line_dedup.dedup_lines(df))
+    assert "SortMergeJoin" in cut and cut.count("BroadcastHashJoin [_id") == 0
+
+
 def test_op1_removes_runs_of_three_short_lines(spark, tmp_path):
     frame(spark, [(1, "p p p\nq q q\nr r r"), (2, "z\np p p\nq q q\nr r r")]).write.parquet(f"{tmp_path}/documents.parquet")
     assert {(r.doc_id, r.text) for r in queries.op1_line_dedup(spark, str(tmp_path)).collect()} == {(1, "p p p\nq q q\nr r r"), (2, "z")}
