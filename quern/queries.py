@@ -415,13 +415,17 @@ def evolve_columns(spark, sf_dir):
 
 
 def derby(spark, sf_dir) -> tuple[str, dict[str, str]]:
-    """An own database in the driver's memory, holding customers; for sessions in one process."""
-    import uuid
+    """An own database of the driver, on its disk until it ends, holding customers."""
+    import atexit
+    import shutil
+    import tempfile
 
     from .sources import jdbc
 
-    url, driver = f"jdbc:derby:memory:quern{uuid.uuid4().hex};create=true", {"driver": "org.apache.derby.jdbc.EmbeddedDriver"}
-    jdbc.table_sink(table(spark, sf_dir, "customer").selectExpr("c_custkey AS K", "c_nationkey AS N", "c_acctbal AS B").coalesce(1), url, "CUSTOMER", **driver)
+    folder = tempfile.mkdtemp(prefix="quern-derby-")
+    atexit.register(shutil.rmtree, folder, True)
+    url, driver = f"jdbc:derby:{folder}/db;create=true", {"driver": "org.apache.derby.jdbc.EmbeddedDriver"}
+    jdbc.table_sink(table(spark, sf_dir, "customer").selectExpr("c_custkey AS K", "c_nationkey AS N", "c_acctbal AS B"), url, "CUSTOMER", **driver)
     return url, driver
 
 

@@ -1,4 +1,7 @@
-"""JDBC in and out: arbitrary queries, one partition a key range, batched writes with retries."""
+"""JDBC in and out: arbitrary queries, one partition a key range, batched writes with retries.
+
+A database in the driver's own process goes through :mod:`.embedded` where executors can't reach it.
+"""
 
 from __future__ import annotations
 
@@ -8,10 +11,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..operators.splitter import KeyRange
+from . import embedded
 
 
 def query_source(spark: SparkSession, url: str, query: str, fetch: int = 100, **options: str) -> DataFrame:
-    return spark.read.format("jdbc").options(url=url, query=query, fetchsize=str(fetch), **options).load()
+    out = spark.read.format("jdbc").options(url=url, query=query, fetchsize=str(fetch), **options).load()
+    return embedded.read(out, url, [query], {"fetchsize": fetch, **options}) if embedded.out_of_reach(spark, url) else out
 
 
 def ranged_source(spark: SparkSession, url: str, table: str, column: str, ranges: list[KeyRange], fetch: int = 100, **properties: str) -> DataFrame:
@@ -21,7 +26,11 @@ def ranged_source(spark: SparkSession, url: str, table: str, column: str, ranges
 
 def table_sink(df: DataFrame, url: str, table: str, batch: int = 100, tries: int = 3, wait: float = 30, **properties: str) -> None:
     """Append in batches; a connection that fails is tried again. Rows must be idempotent in the target, as with a key."""
-    retried(lambda: df.write.mode("append").option("batchsize", batch).jdbc(url, table, properties=properties), tries, wait)
+    if embedded.out_of_reach(df.sparkSession, url):
+        retried(lambda: embedded.append(df, url, table, batch, properties), tries, wait)
+    else:
+        rows = df.coalesce(1) if embedded.embedded(url) else df  # many rows lock a whole table there, so writers would wait for each other
+        retried(lambda: rows.write.mode("append").option("batchsize", batch).jdbc(url, table, properties=properties), tries, wait)
 
 
 def retried(action: Callable, tries: int = 3, wait: float = 30, sleep: Callable[[float], None] = time.sleep):
