@@ -444,7 +444,7 @@ def jdbc_ranged_load(spark, sf_dir):
     from .sources import jdbc
 
     url, driver = derby(spark, sf_dir)
-    jdbc.table_sink(jdbc.ranged_source(spark, url, "CUSTOMER", "K", splitter.integer_ranges([50, 700, 1400]), **driver).coalesce(1), url, "COPY", **driver)
+    jdbc.table_sink(jdbc.ranged_source(spark, url, "CUSTOMER", "K", splitter.integer_ranges([50, 700, 1400]), **driver), url, "COPY", **driver)
     rows = jdbc.query_source(spark, url, "SELECT * FROM COPY", **driver)
     return rows.groupBy(F.col("N").alias("n")).agg(F.count(F.lit(1)).alias("c"), F.min("K").alias("low"), F.max("K").alias("high"))
 

@@ -21,7 +21,10 @@ def query_source(spark: SparkSession, url: str, query: str, fetch: int = 100, **
 
 def ranged_source(spark: SparkSession, url: str, table: str, column: str, ranges: list[KeyRange], fetch: int = 100, **properties: str) -> DataFrame:
     """All ranges of a table in one DataFrame, one partition each; filters and columns are pushed to the source."""
-    return spark.read.jdbc(url, table, predicates=[r.sql(column) for r in ranges], properties={"fetchsize": str(fetch), **properties})
+    out = spark.read.jdbc(url, table, predicates=[r.sql(column) for r in ranges], properties={"fetchsize": str(fetch), **properties})
+    if embedded.out_of_reach(spark, url):
+        return embedded.read(out, url, [f"SELECT * FROM {table} WHERE {r.sql(column)}" for r in ranges], {"fetchsize": fetch, **properties})
+    return out
 
 
 def table_sink(df: DataFrame, url: str, table: str, batch: int = 100, tries: int = 3, wait: float = 30, **properties: str) -> None:

@@ -22,7 +22,7 @@ at, sf = sys.argv[1:]
 spark = SparkSession.builder.master("local-cluster[2,1,1024]").config("spark.executor.memory", "900m").config("spark.driver.host", "127.0.0.1").config("spark.ui.enabled", "false").config("spark.checkpoint.dir", f"file://{at}/shared").config("spark.sql.shuffle.partitions", "2").getOrCreate()
 for f in (embedded.read, embedded.append):
     f.__defaults__ = (40,)  # several parts
-print(json.dumps({q: [list(r) for r in entry.queries()[q](spark, sf).collect()] for q in ("jdbc_query_scan",)}))
+print(json.dumps({q: [list(r) for r in entry.queries()[q](spark, sf).collect()] for q in ("jdbc_query_scan", "jdbc_ranged_load")}))
 spark.stop()
 """
 
@@ -40,7 +40,7 @@ def rows(sf, tmp_path_factory):
     return json.loads(done.stdout.splitlines()[-1])
 
 
-@pytest.mark.parametrize("name", ["jdbc_query_scan"])
+@pytest.mark.parametrize("name", ["jdbc_query_scan", "jdbc_ranged_load"])
 def test_executors_of_other_processes(rows, sf, name):
     con = duckdb.connect()
     con.sql(f"CREATE VIEW customer AS SELECT * FROM '{sf}/customer.parquet'")
