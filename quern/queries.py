@@ -74,7 +74,8 @@ chunks AS (SELECT grp, min(relative_fno) AS first_fno, arg_min(block_id, (relati
 
 def extents(spark, sf_dir) -> DataFrame:
     """Contiguous extents made of lineitem: a file for each supplier, an extent for each part in it."""
-    g = table(spark, sf_dir, "lineitem").groupBy(F.col("l_suppkey").alias("relative_fno"), "l_partkey").agg(F.count(F.lit(1)).alias("blocks"))
+    lines = table(spark, sf_dir, "lineitem").select("l_suppkey", "l_partkey").repartition("l_suppkey")  # groups and windows share this shuffle; few lines share a group
+    g = lines.groupBy(F.col("l_suppkey").alias("relative_fno"), "l_partkey").agg(F.count(F.lit(1)).alias("blocks"))
     ends = F.sum("blocks").over(W.partitionBy("relative_fno").orderBy("l_partkey"))
     return g.select("relative_fno", (ends - F.col("blocks")).alias("block_id"), "blocks")
 

@@ -86,3 +86,13 @@ def test_queue_lines_read_back(spark):
     assert [tuple(r) for r in got] == [
         (1, "SELECT * FROM S.T WHERE (obj, fno, blk, row) BETWEEN (77, 1, 0, 0) AND (77, 1, 4, 10000)", "D.T"),
         (2, "SELECT * FROM S.T WHERE (obj, fno, blk, row) BETWEEN (77, 1, 5, 0) AND (77, 2, 8, 10000)", "D.T")]
+
+
+def test_running_sum_deals_rows_once(spark):
+    df = spark.range(3000).selectExpr("IF(id % 10 = 0, NULL, id % 97) AS f", "id AS b", "id % 5 AS w")
+    out = prefix.running_sum(df, ["f", "b"], "w", buckets=16)
+    total, want = 0, {}
+    for r in sorted(df.collect(), key=lambda r: (r.f is not None, r.f or 0, r.b)):
+        want[r.b] = total = total + r.w
+    assert {r.b: r.cum for r in out.collect()} == want
+    assert "ReusedExchange" in out._jdf.queryExecution().executedPlan().toString()
